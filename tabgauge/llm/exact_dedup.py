@@ -47,10 +47,8 @@ def refine(
     )
     more_than_one = F.col("count") > 1
     lengths = scan.groupBy("_len").count().where(more_than_one).select("_len")
-    prefixes = (
-        scan.select("_len", "_prefix").join(lengths, "_len", "left_semi")
-        .groupBy("_len", "_prefix").count().where(more_than_one).select("_len", "_prefix")
-    )
+    # Counted before the join, so that many copies of one text meet its length as one row.
+    prefixes = scan.groupBy("_len", "_prefix").count().join(lengths, "_len", "left_semi").where(more_than_one).select("_len", "_prefix")
     prefixes = cut(prefixes)
     marked = scan.join(small(prefixes.withColumn("_hit", F.lit(True)), broadcast_rows), ["_len", "_prefix"], "left").select(
         "_id", "_len", "_prefix",

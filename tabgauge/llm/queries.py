@@ -5,10 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgauge.llm import exact_dedup, secret_scan, sharding
+from tabgauge.llm import decontamination, exact_dedup, language_id, quality, secret_scan, sharding
 from tabgauge.llm.common import read
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the folds 0 and 2 of three."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.fold("doc_id", 3) == 1
+    model = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items: one row per document and item."""
+    return decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of the folds 0, 1 and 3 of four."""
+    docs = read(spark, sf_dir, "documents")
+    held_out = language_id.fold("doc_id", 4) == 2
+    return quality.score(docs, quality.train(labelled(spark, sf_dir, docs))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The documents of the folds that may be learned from, with their quality label."""
+    labels = read(spark, sf_dir, "labels").where(language_id.fold("doc_id", 4) != 2).select("doc_id", "quality")
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near-equal bytes; equal texts share a shard."""
     found = sharding.shard_by_bytes(read(spark, sf_dir, "documents"), 8)
@@ -34,6 +60,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,
