@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgauge.llm import decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash
+from tabgauge.llm import bpe, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash
 from tabgauge.llm.common import read
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and the bytes that they decode to, as digests."""
+    found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the folds 0 and 2 of three."""
     docs = read(spark, sf_dir, "documents")
@@ -66,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
     "op6_quality": op6_quality,
