@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows up to which a table of fixed-width keys is broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -42,6 +43,19 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int, seed: int) -> DataFrame:
+    """(id, class) of at most ``most`` rows of each class, those whose hashed ids come first; written to the checkpoint folder.
+
+    A threshold on the hash, from the class's count, leaves about three times as many rows to be ranked, whatever the class's size.
+    """
+    keys = rows.select(id_col, class_col).where(F.col(class_col).isNotNull())
+    counts = cut(keys.groupBy(class_col).agg(F.count(F.lit(1)).alias("_n")))
+    place = F.xxhash64(id_col, F.lit(seed)).bitwiseAND(F.lit(2**40 - 1))
+    near = keys.join(small(counts), class_col).where(place < F.lit(2.0**40 * 3 * most) / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy(place, id_col))
+    return cut(near.withColumn("_rank", rank).where(F.col("_rank") <= most).select(id_col, class_col))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of record batches that hold about ``max_bytes`` of ``column`` each, one row at least."""
     for batch in batches:

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabgauge.llm.common import cut, pieces
+from tabgauge.llm.common import bounded_sample, pieces, small
 from tabgauge.llm.features import gram_hashes, pack
 
 DIM = 4096
@@ -150,11 +149,10 @@ def fit(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] =
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """A model from at most ``per_language`` rows of each language: those whose hashed ids come first."""
-    rank = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col, F.lit(11)), id_col)
-    usable = labelled.where((F.coalesce(F.col(lang_col), F.lit("")) != "") & (F.octet_length(text_col) > 0))
-    chosen = cut(usable.select(id_col, lang_col).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_language).select(id_col, lang_col))
-    # The ids are bounded by per_language times the number of languages.
-    sample = usable.select(id_col, text_col, lang_col).join(F.broadcast(chosen), [id_col, lang_col], "left_semi").select(text_col, lang_col)
+    usable = labelled.where(F.coalesce(F.col(lang_col), F.lit("")) != "")
+    chosen = bounded_sample(usable, id_col, lang_col, per_language, 11)
+    # The chosen ids are bounded by per_language times the number of languages.
+    sample = usable.select(id_col, text_col, lang_col).join(small(chosen), [id_col, lang_col], "left_semi").select(text_col, lang_col)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, 1 << 20):

@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabgauge.llm.common import cut, pieces
+from tabgauge.llm.common import bounded_sample, pieces
 from tabgauge.llm.features import gram_hashes, mix, pack, sums, words
 
 BUCKETS = 1 << 17
@@ -96,13 +95,14 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: i
     return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
-    """A model from at most ``per_label`` documents of each label: those whose hashed ids come first."""
-    rank = Window.partitionBy(label_col).orderBy(F.xxhash64(id_col, F.lit(13)), id_col)
-    usable = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
-    chosen = cut(usable.select(id_col, label_col).withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= per_label).select(id_col, label_col))
-    # The ids are bounded by twice per_label.
-    sample = usable.select(id_col, text_col, label_col).join(F.broadcast(chosen), [id_col, label_col], "left_semi").select(id_col, text_col, label_col)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
+    """A model from at most ``per_label`` documents of each label, those whose hashed ids come first.
+
+    ``labels`` has the ids that may be learned from. The sample is drawn from it, so that no text but the sample's moves.
+    """
+    chosen = bounded_sample(labels.where(F.col(label_col).isin(0, 1)), id_col, label_col, per_label, 13)
+    # At most twice per_label rows.
+    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col).select(id_col, text_col, label_col)
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, 1 << 20):

@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgauge.llm import bpe, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash
+from tabgauge.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash
 from tabgauge.llm.common import read
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and one of control strings, formatted and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
+    found = chat.conversations(chat.chains(rows))
+    read_back, unescape = chat.read_back, chat.unescape
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = lambda x: hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
+        for batch in batches:
+            out = []
+            for tree, formatted, loss in zip(*(batch.column(c).to_pylist() for c in ("tree", "formatted", "loss"))):
+                turns = read_back(formatted)
+                learned = "".join(unescape(formatted[s["start"] : s["end"]]) for s in loss)
+                out.append((tree, len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(learned), digest(learned), len(formatted)))
+            kinds = (batch.column("tree").type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names=names)
+
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    return found.mapInArrow(digests, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to, as digests."""
     found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
@@ -34,13 +62,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of the folds 0, 1 and 3 of four."""
     docs = read(spark, sf_dir, "documents")
     held_out = language_id.fold("doc_id", 4) == 2
-    return quality.score(docs, quality.train(labelled(spark, sf_dir, docs))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return quality.score(docs, quality.train(docs, learnable(spark, sf_dir))).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
-    """The documents of the folds that may be learned from, with their quality label."""
-    labels = read(spark, sf_dir, "labels").where(language_id.fold("doc_id", 4) != 2).select("doc_id", "quality")
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality labels of the folds that may be learned from."""
+    return read(spark, sf_dir, "labels").where(language_id.fold("doc_id", 4) != 2).select("doc_id", "quality")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +101,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat": op1_chat,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
@@ -85,6 +113,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat": chat.ORACLE,
     "op10_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER g AS keep_id,
