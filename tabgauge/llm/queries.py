@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgauge.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash
+from tabgauge.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash, surrogates
 from tabgauge.llm.common import read
 
+#: For these queries; a run over real data passes a secret of its own.
+SURROGATE_KEY = b"key of the test queries"
+
 
 def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and one of control strings, formatted and read back."""
@@ -37,6 +40,13 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.mapInArrow(digests, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced, and what was replaced."""
+    found = surrogates.replace_entities(read(spark, sf_dir, "documents"), SURROGATE_KEY)
+    joined = F.array_join(F.transform("entities", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), joined.alias("entities"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the bytes that they decode to, as digests."""
     found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents")))
@@ -102,6 +112,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_surrogates": op2_surrogates,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op5_decontamination": op5_decontamination,
