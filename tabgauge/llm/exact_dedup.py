@@ -57,7 +57,7 @@ def refine(
         *[f"_c{i}" for i in range(len(carry))],
     )
     marked = cut(marked)  # row numbers are fixed here
-    groups = (
+    groups = cut(  # written, so that a join with a very large group can be split
         marked.where(F.col("_full").isNotNull())
         .groupBy("_len", "_prefix", "_full")
         .agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_size"))
