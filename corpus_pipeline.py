@@ -1,25 +1,53 @@
-"""Stages that turn ``documents`` into token ids; each one's output is written as Parquet and read as the next one's input."""
+"""Stages that turn ``documents`` into token ids; each one's output is written as Parquet and read as the next one's input.
+
+Documents that the quality classifier rejects go, then all but one of equal texts, all but one of near duplicates, and documents
+that hold benchmark passages. The last stage gives each document's ids and the digest of the bytes that they decode to.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabgauge.llm import bpe, decontamination, exact_dedup, quality, simhash
+from tabgauge.llm.common import read
+from tabgauge.llm.queries import learnable
+
 
-from tabgauge.llm import exact_dedup
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the stage's input, accepts."""
+    return quality.keep_good(docs, quality.train(docs, learnable(spark, sf_dir)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: that with the largest id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component: that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the SHA-256 of the bytes that the ids decode to."""
+    found = bpe.decode(bpe.encode(docs))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality_classifier", good), ("exact_dedup", exact), ("simhash_near_dedup", near), ("benchmark_decontamination", clean), ("byte_level_bpe", tokens)]
 
 #: Learned models and byte-pair merges have no SQL form; tests/llm compares the pipeline with a plain-Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
