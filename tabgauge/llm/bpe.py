@@ -31,7 +31,7 @@ import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK_CHARS = 12_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
@@ -99,7 +99,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     if ranks is None:
         ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     source = docs.select(id_col, text_col)
-    id_type = source.schema[0].dataType.simpleString()
+    id_type, id_arrow = source.schema[0].dataType.simpleString(), to_arrow_type(source.schema[0].dataType)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * n))
 
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
         ends = total[np.cumsum(lengths, dtype=np.int64)]
         values = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
         ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), pa.array(values)).cast(pa.list_(pa.int32()))
-        return pa.table({id_col: pa.array(doc_ids), "ids": ids})
+        return pa.table({id_col: pa.array(doc_ids, id_arrow), "ids": ids})
 
     blocks = source.mapInArrow(split, "block bigint, positions binary, words binary").repartition(n, "block")
     words = blocks.mapInArrow(deal, "bucket int, block bigint, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")
@@ -192,7 +192,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: s
         for batch in batches:
             decoded = []
             for ids in batch.column(place):
-                decoded.append(b"".join(map(table.__getitem__, ids.values.to_pylist())) if ids.is_valid else b"")
+                decoded.append(b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b"")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)

@@ -94,13 +94,14 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str,
         "tree", "node", F.col("b_node").alias("above"), F.lit(1).cast("long").alias("length"), F.col("score").alias("total")))
     steps = []
     for _ in range(max(1, nodes.count()).bit_length() + 1):
-        if state.where(F.col("above").isNotNull()).isEmpty():
+        active = state.where(F.col("above").isNotNull())  # nodes at the root already take no further part
+        if active.isEmpty():
             break
-        steps.append(state.where(F.col("above").isNotNull()).select(F.col("tree").alias("s_tree"), F.col("node").alias("s_node"), F.col("above").alias("s_above")))
+        steps.append(active.select(F.col("tree").alias("s_tree"), F.col("node").alias("s_node"), F.col("above").alias("s_above")))
         upper = state.select(*[F.col(c).alias(f"b_{c}") for c in state.columns])
-        state = cut(state.join(upper, _same(state, upper, "above", "b"), "left").select(
-            "tree", "node", F.col("b_above").alias("above"),
-            (F.col("length") + F.coalesce("b_length", F.lit(0))).alias("length"), (F.col("total") + F.coalesce("b_total", F.lit(0.0))).alias("total")))
+        moved = active.join(upper, _same(active, upper, "above", "b")).select(
+            "tree", "node", F.col("b_above").alias("above"), (F.col("length") + F.col("b_length")).alias("length"), (F.col("total") + F.col("b_total")).alias("total"))
+        state = cut(state.where(F.col("above").isNull()).union(moved))
     replied = nodes.where(F.col("parent").isNotNull()).select(F.col("tree").alias("r_tree"), F.col("parent").alias("r_node")).distinct()
     rooted = state.where(F.col("above").isNull())
     leaves = rooted.join(replied, rooted["tree"].eqNullSafe(replied["r_tree"]) & (rooted["node"] == replied["r_node"]), "left_anti")

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabgauge.llm.common import cut, pieces
 from tabgauge.llm.features import pack, words
@@ -159,7 +160,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     source = docs.select(id_col, text_col)
     kinds = [source.schema[0].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
     schema = f"`{id_col}` {kinds[0]}, `{item_col}` {kinds[1]}, first_token int, n_tokens int, n_equal int"
-    out = None
+    item_type, out = to_arrow_type(benchmark.schema[item_col].dataType), None
     for index in slices(benchmark, item_col, item_text_col, slice_tokens):
 
         def run(batches: Iterator[pa.RecordBatch], held: Index = index) -> Iterator[pa.RecordBatch]:
@@ -169,10 +170,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 if hits:
                     rows = np.array(hits, np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows[:, 0])), pa.array([held.ids[i] for i in rows[:, 1]]).cast(item_type), *(pa.array(rows[:, k].astype(np.int32)) for k in (2, 3, 4))],
+                        [batch.column(0).take(pa.array(rows[:, 0])), pa.array([held.ids[i] for i in rows[:, 1]], item_type), *(pa.array(rows[:, k].astype(np.int32)) for k in (2, 3, 4))],
                         names=[id_col, item_col, "first_token", "n_tokens", "n_equal"])
 
-        item_type = pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64()
         part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out

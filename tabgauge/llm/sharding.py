@@ -117,28 +117,37 @@ def shard_by_bytes(
         """About 2 * times * n * samples_per_range keys at most, as the weights of all rows add up to 2."""
         return [tuple(r) for r in of.where(F.rand(seed) < weight * (times * n * samples_per_range)).select("_key", "_tie").collect()]
 
+    def counted(by: list[tuple[int, int]]) -> tuple[DataFrame, list[dict]]:
+        """Rows with their range, and the ranges in key order; one that holds a heavy key has it as its key."""
+        rows = base.withColumn("_range", _range_of(by)("_key", "_tie"))
+        found = rows.groupBy("_range").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).orderBy("_range").collect()
+        return rows, [{"range": r["_range"], "bytes": r["b"], "rows": r["n"], "lo": r["lo"], "hi": r["hi"], "key": r["lo"] if r["lo"] == r["hi"] and r["lo"] in heavy else None} for r in found]
+
     splitters = _splitters(sample(base, 1), n, heavy)
     for _ in range(3):
-        held = base.withColumn("_range", _range_of(splitters)("_key", "_tie"))
-        stats = held.groupBy("_range").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).collect()
-        full = [r for r in stats if r["b"] / max(1, bytes_all) + r["n"] / rows_all > 4 / n and (r["lo"] != r["hi"] or r["lo"] in heavy)]
+        held, ranges = counted(splitters)
+        weigh = lambda r: r["bytes"] / max(1, bytes_all) + r["rows"] / rows_all
+        full = [r for r in ranges if weigh(r) > 4 / n and (r["lo"] != r["hi"] or r["key"] is not None)]
         if not full:
             break
-        again = sample(held.where(F.col("_range").isin([r["_range"] for r in full])), 4)
+        again = sample(held.where(F.col("_range").isin([r["range"] for r in full])), 4)
         known = set(splitters)
         by_range: dict[int, list[tuple[int, int]]] = {}
         for k, t in again:
             by_range.setdefault(bisect_right(splitters, (k, t)), []).append((k, t))
-        share = {r["_range"]: int((r["b"] / max(1, bytes_all) + r["n"] / rows_all) / 2 * n) + 1 for r in full}
+        share = {r["range"]: int(weigh(r) / 2 * n) + 1 for r in full}
         known |= {x for at, found in by_range.items() for x in _splitters(found, share.get(at, 1), {k: 0 for k in heavy if any(f[0] == k for f in found)})}
         if len(known) == len(splitters):
             break
         splitters = sorted(known)
-    held = base.withColumn("_range", _range_of(splitters)("_key", "_tie"))
-    ranges = [
-        {"range": r["_range"], "bytes": r["b"], "rows": r["n"], "key": r["lo"] if r["lo"] == r["hi"] and r["lo"] in heavy else None}
-        for r in held.groupBy("_range").agg(F.sum("_size").alias("b"), F.count(F.lit(1)).alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi")).orderBy("_range").collect()
-    ]
+    held, ranges = counted(splitters)
+    place(ranges, n_shards, heavy)
+    # The ranges at the shards' ends are subdivided once more, so that the ends fall where they should.
+    last = {max((r["range"] for r in ranges if r["key"] is None and r["shard"] == s), default=None) for s in range(n_shards)} - {None}
+    ends = [r["range"] for r in ranges if r["key"] is None and (r["range"] in last or r["range"] - 1 in last)]
+    cuts = sample(held.where(F.col("_range").isin(ends)), 4) if ends else []
+    finer = sorted({*splitters, *((k, t if k in heavy else LOW) for k, t in cuts)})
+    held, ranges = counted(finer)
     place(ranges, n_shards, heavy)
     used = [0] * n_shards
     for r in ranges:
