@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgauge.llm import bpe, decontamination, exact_dedup, quality, simhash
-from tabgauge.llm.common import read
+from tabgauge.llm.common import read, reread
 from tabgauge.llm.queries import learnable
 
 
@@ -48,6 +48,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = reread(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
