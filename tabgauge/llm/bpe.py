@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
 
 
@@ -57,7 +57,7 @@ def _planes(x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _joined(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.int64) | middle.astype(np.int64) << 8 | high.astype(np.int64) << 16
+    return low.astype(np.uint32) | middle.astype(np.uint32) << 8 | high.astype(np.uint32) << 16
 
 
 class Block:
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     def assemble(asked: pa.Table, given: pa.Table) -> pa.Table:
         doc_ids, lengths, codes, bucket = _unpack(asked.column("positions")[0].as_py())
         codes = _joined(*codes)
-        counts, flat = np.zeros(len(bucket), np.int64), np.zeros(0, np.int64)
+        counts, flat = np.zeros(len(bucket), np.int64), np.zeros(0, np.uint32)
         order = np.argsort(bucket, kind="stable")  # words as they were dealt: by bucket, then by number
         parts = [_unpack(blob) for _, blob in sorted(zip(given.column("bucket").to_pylist(), given.column("ids").to_pylist()))]
         if parts:
@@ -161,17 +161,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
             flat = np.concatenate([_joined(*i) for _, i in parts])
         starts = np.empty(len(bucket), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
-        chunks, sizes, step = [], [], 1 << 20
+        chunks, step = [np.zeros(0, np.int32)], 1 << 18
+        before = np.zeros(len(codes) + 1, np.int64)  # ids before each position
         for k in range(0, len(codes), step):
             c = codes[k : k + step]
             size = counts[c]
-            sizes.append(size)
+            before[k + 1 : k + 1 + len(c)] = before[k] + np.cumsum(size)
             first = np.repeat(starts[c] - (np.cumsum(size) - size), size)
             chunks.append(flat[first + np.arange(len(first))].astype(np.int32))
-        total = np.concatenate([[0], np.cumsum(np.concatenate([[0], *sizes]))])[1:]  # ids before each position
-        ends = total[np.cumsum(lengths, dtype=np.int64)]
-        values = np.concatenate(chunks) if chunks else np.zeros(0, np.int32)
-        ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), pa.array(values)).cast(pa.list_(pa.int32()))
+        ends = before[np.cumsum(lengths, dtype=np.int64)]
+        ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), pa.array(np.concatenate(chunks))).cast(pa.list_(pa.int32()))
         return pa.table({id_col: pa.array(doc_ids, id_arrow), "ids": ids})
 
     blocks = source.mapInArrow(split, "block bigint, positions binary, words binary").repartition(n, "block")
@@ -189,10 +188,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = {i: token for token, i in ranks.items()}
-        for batch in batches:
-            decoded = []
-            for ids in batch.column(place):
-                decoded.append(b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b"")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out_col])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):  # small batches, for the memory of both sides
+                batch = whole.slice(k, 500)
+                decoded = [b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b"" for ids in batch.column(place)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out_col])
 
     return encoded.mapInArrow(run, schema)
