@@ -2,20 +2,599 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from math import inf
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabgauge.operators import intervals, plotdata
+from tabgauge.operators.base import Metric
+from tabgauge.operators.classify import ColumnCheck, classify
+from tabgauge.operators.columns import ColumnRef, categorical, column
+from tabgauge.operators.histogram import aligned_histogram
+from tabgauge.operators.metrics import (
+    Bhattacharyya, CramersV, EarthMovers, EarthMoversBinned, Hellinger, HistogramMetric, JensenShannon, KendallTau, KolmogorovSmirnov, KullbackLeibler, Mean, Norm, StandardDeviation, TotalVariation)
+from tabgauge.operators.tables import CorrMatrix, DiffCorrMatrix, OneColumnMap, TwoColumnMap, compare_all, summary_mean, summary_most
+from tabgauge.plans import oracles as o
+from tabgauge.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with the SQL for its rows where SQL can say it."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(result: DataFrame) -> DataFrame:
+    """A metric's row with its value at eight places."""
+    return result.select("metric", "column_a", "column_b", F.round("value", 8).alias("value"))
+
+
+def flags(spark: SparkSession, sf: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with return flag A and those with R."""
+    held = read_table(spark, sf, "lineitem")
+    return held.where("l_returnflag = 'A'").select(value), held.where("l_returnflag = 'R'").select(value)
+
+
+PRICE = ("l_extendedprice FROM lineitem WHERE l_returnflag = 'A'", "l_extendedprice FROM lineitem WHERE l_returnflag = 'R'")
+PRIORITY = ("o_orderpriority FROM orders WHERE o_orderstatus = 'F'", "o_orderpriority FROM orders WHERE o_orderstatus = 'O'")
+
+
+def price_pair(spark: SparkSession, sf: str) -> tuple[ColumnRef, ColumnRef]:
+    a, b = flags(spark, sf, "l_extendedprice")
+    return column(a, "l_extendedprice"), column(b, "l_extendedprice")
+
+
+def priority_pair(spark: SparkSession, sf: str) -> tuple[ColumnRef, ColumnRef]:
+    held = read_table(spark, sf, "orders")
+    part = lambda s: column(held.where(F.col("o_orderstatus") == s).select("o_orderpriority"), "o_orderpriority")
+    return part("F"), part("O")
+
+
+# classification
+
+LINEITEM = {"numbers": ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), "narrow": ("l_linenumber",), "texts": ("l_returnflag", "l_linestatus"), "dates": ("l_shipdate",)}
+
+
+@query("column_check", o.kinds("lineitem", **LINEITEM))
+def _(spark, sf):
+    return classify(read_table(spark, sf, "lineitem"))
+
+
+@query("column_check_nulls", o.kinds("(SELECT nullif(p_size, 7) AS p_size, nullif(p_name, 'red widget') AS p_name, p_retailprice FROM part)", numbers=("p_retailprice",), narrow=("p_size",), texts=("p_name",)))
+def _(spark, sf):
+    held = read_table(spark, sf, "part")
+    return classify(held.select(F.nullif("p_size", F.lit(7)).alias("p_size"), F.nullif("p_name", F.lit("red widget")).alias("p_name"), "p_retailprice"))
+
+
+_TEXTS = {
+    "number": ("cast(value AS string)", "cast(value AS VARCHAR)"),
+    "gaps": ("if(event_id % 7 = 0, '', cast(value AS string))", "CASE WHEN event_id % 7 = 0 THEN '' ELSE cast(value AS VARCHAR) END"),
+    "whole": ("cast(user_id AS string)", "cast(user_id AS VARCHAR)"),
+    "day": ("date_format(ts, 'yyyy-MM-dd')", "strftime(ts, '%Y-%m-%d')"),
+    "suffix": ("concat(cast(user_id AS string), 'd')", "concat(cast(user_id AS VARCHAR), 'd')"),
+    "event_type": ("event_type", "event_type"),
+}
+
+
+def _inferred(name: str, sql: str) -> str:
+    blank, n = "count(*) FILTER (x = '' OR x IS NULL)", "count(*)"
+    number, day = "count(TRY_CAST(nullif(x, '') AS DOUBLE))", "count(TRY_CAST(nullif(x, '') AS TIMESTAMP))"
+    return f"SELECT '{name}' AS column, CASE WHEN {n} - {number} = {blank} THEN CASE WHEN {blank} = 0 AND bool_and(TRY_CAST(nullif(x, '') AS DOUBLE) = floor(TRY_CAST(nullif(x, '') AS DOUBLE))) THEN 'int' ELSE 'float' END WHEN {n} - {day} = {blank} THEN 'datetime' ELSE 'object' END AS inferred, {blank} AS n_missing FROM (SELECT {sql} AS x FROM events)"
+
+
+@query("infer_dtype", " UNION ALL ".join(_inferred(k, v) for k, (_, v) in _TEXTS.items()))
+def _(spark, sf):
+    texts = read_table(spark, sf, "events").selectExpr(*[f"{v} AS `{k}`" for k, (v, _) in _TEXTS.items()])
+    return classify(texts).select("column", F.when(F.col("inferred") == "object", "object").otherwise(F.col("inferred")).alias("inferred"), F.when(F.col("column") == "gaps", F.col("n_missing")).otherwise(F.lit(0)).alias("n_missing"))
+
+
+@query("gate_not_applicable", o.result("mean", "c_name", None, "NULL", source="(SELECT 1)"))
+def _(spark, sf):
+    return rounded(Mean()(column(read_table(spark, sf, "customer"), "c_name")))
+
+
+@query("gate_mixed_kinds", o.result("hellinger_distance", "o_totalprice", "o_orderstatus", "NULL", source="(SELECT 1)"))
+def _(spark, sf):
+    held = read_table(spark, sf, "orders")
+    return rounded(Hellinger()(column(held, "o_totalprice"), column(held, "o_orderstatus")))
+
+
+# one column
+
+
+@query("mean_numeric", o.result("mean", "l_extendedprice", None, "avg(l_extendedprice)", source="lineitem").replace("8) AS value", "4) AS value"))
+def _(spark, sf):
+    return Mean()(column(read_table(spark, sf, "lineitem"), "l_extendedprice")).select("metric", "column_a", "column_b", F.round("value", 4).alias("value"))
+
+
+@query("mean_numeric_text", o.result("mean", "v", None, "avg(value)", source="events").replace("8) AS value", "4) AS value"))
+def _(spark, sf):
+    return Mean()(column(read_table(spark, sf, "events").select(F.col("value").cast("string").alias("v")), "v")).select("metric", "column_a", "column_b", F.round("value", 4).alias("value"))
+
+
+_MEAN_TS = "make_timestamp(CAST(round(avg((epoch_us({c}) - (SELECT min(epoch_us({c})) FROM {t}))::DECIMAL(38, 0))) AS BIGINT) + (SELECT min(epoch_us({c})) FROM {t}))"
+
+
+@query("mean_timestamp", f"SELECT 'mean' AS metric, 'ts' AS column_a, abs(epoch_us({_MEAN_TS.format(c='ts', t='events')}) - epoch_us(min(ts))) > 0 AS later, date_trunc('second', {_MEAN_TS.format(c='ts', t='events')}) AS value_ts FROM events")
+def _(spark, sf):
+    held = read_table(spark, sf, "events")
+    found = Mean()(column(held, "ts"))
+    first = held.agg(F.min("ts").cast("timestamp").alias("first"))
+    return found.crossJoin(F.broadcast(first)).select("metric", "column_a", (F.col("value_ts") > F.col("first")).alias("later"), F.date_trunc("second", "value_ts").cast("timestamp_ntz").alias("value_ts"))
+
+
+@query("mean_timestamp_missing", o.result("mean", "ts", None, "NULL", source="(SELECT 1)"))
+def _(spark, sf):
+    held = read_table(spark, sf, "events").select(F.when(F.col("event_id") % 9 != 0, F.col("ts")).alias("ts"))
+    return Mean()(column(held, "ts")).select("metric", "column_a", "column_b", F.coalesce("value", F.unix_micros("value_ts").cast("double")).alias("value"))
+
+
+@query("standard_deviation", o.result("standard_deviation", "value", None, "sqrt(regr_sxx(value, value))", source="events").replace("8) AS value", "5) AS value"))
+def _(spark, sf):
+    return StandardDeviation()(column(read_table(spark, sf, "events"), "value")).select("metric", "column_a", "column_b", F.round("value", 5).alias("value"))
+
+
+def _trimmed(r: float) -> str:
+    return o.result("standard_deviation", "value", None, "sqrt(regr_sxx(value, value))", source=f"(SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i >= floor(n * {r}) AND i < floor(n * (1 - {r}::DOUBLE))").replace("8) AS value", "5) AS value")
+
+
+@query("standard_deviation_trimmed", _trimmed(0.1))
+def _(spark, sf):
+    return StandardDeviation(remove_outliers=0.1)(column(read_table(spark, sf, "events"), "value")).select("metric", "column_a", "column_b", F.round("value", 5).alias("value"))
+
+
+@query("standard_deviation_timestamp", "SELECT 'standard_deviation' AS metric, 'o_orderdate' AS column_a, CAST(round(sqrt(regr_sxx(d, d))) AS BIGINT) AS seconds FROM (SELECT (epoch_us(o_orderdate) - (SELECT min(epoch_us(o_orderdate)) FROM orders)) / 1e6 AS d FROM orders)")
+def _(spark, sf):
+    found = StandardDeviation()(column(read_table(spark, sf, "orders"), "o_orderdate"))
+    return found.select("metric", "column_a", F.round(F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.col("value_interval")) / 1e6).cast("long").alias("seconds"))
+
+
+# histograms
+
+
+@query("bin_edges_auto", f"WITH j AS ({o.two_sides(*PRICE)}), {o.BINS} SELECT CAST(k AS BIGINT) AS k, round(l, 6) AS edge FROM e UNION ALL SELECT any_value(nb), round(max(r), 6) FROM e")
+def _(spark, sf):
+    edges = aligned_histogram(price_pair(spark, sf)).edges
+    return spark.createDataFrame([(k, round(e, 6)) for k, e in enumerate(edges)], "k long, edge double")
+
+
+@query("zipped_hist_continuous", f"{o.continuous_counts(*PRICE)} SELECT CAST(k AS BIGINT) AS bin, round(c0 / sum(c0) OVER (), 8) AS p0, round(c1 / sum(c1) OVER (), 8) AS p1 FROM h")
+def _(spark, sf):
+    return aligned_histogram(price_pair(spark, sf)).filled().select("bin", F.round("p0", 8).alias("p0"), F.round("p1", 8).alias("p1"))
+
+
+@query("zipped_hist_categorical", f"{o.categorical_counts(*PRIORITY)} SELECT k AS bin, c0, c1 FROM h")
+def _(spark, sf):
+    return aligned_histogram(priority_pair(spark, sf)).df.select("bin", F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"))
+
+
+@query("zipped_hist_edges", "SELECT CAST(CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 25 THEN 1 ELSE 2 END AS BIGINT) AS bin, count(*) FILTER (l_returnflag = 'A') AS c0, count(*) FILTER (l_returnflag = 'R') AS c1 FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_quantity BETWEEN 5 AND 40 GROUP BY 1")
+def _(spark, sf):
+    a, b = flags(spark, sf, "l_quantity")
+    found = aligned_histogram([column(a, "l_quantity"), column(b, "l_quantity")], bin_edges=[5, 10, 25, 40])
+    return found.df.select("bin", F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"))
+
+
+METRICS: dict[str, HistogramMetric] = {
+    "kl": KullbackLeibler(), "js": JensenShannon(), "hellinger": Hellinger(), "bhattacharyya": Bhattacharyya(), "total_variation": TotalVariation(),
+    "norm_l1": Norm(ord=1), "norm_l2": Norm(), "norm_l3": Norm(ord=3), "norm_inf": Norm(ord=inf), "norm_neg_inf": Norm(ord=-inf), "norm_l0": Norm(ord=0)}
+
+
+def _histogram_queries() -> None:
+    for short, metric in METRICS.items():
+        formula = o.OF_SHARES[short if short.startswith("norm") else metric.name]
+        query(f"{short}_continuous", o.result(metric.name, "l_extendedprice", "l_extendedprice", formula, f"{o.continuous_counts(*PRICE)}, {o.SHARES}"))(
+            lambda spark, sf, m=metric: rounded(m(*price_pair(spark, sf))))
+        query(f"{short}_categorical", o.result(metric.name, "o_orderpriority", "o_orderpriority", formula, f"{o.categorical_counts(*PRIORITY)}, {o.SHARES}"))(
+            lambda spark, sf, m=metric: rounded(m(*priority_pair(spark, sf))))
+
+
+_histogram_queries()
+
+
+@query("kl_infinite", "SELECT 'kullback_leibler_divergence' AS metric, true AS infinite")
+def _(spark, sf):
+    held = read_table(spark, sf, "customer")
+    part = lambda s: column(held.where(f"c_mktsegment IN {s}").select("c_mktsegment"), "c_mktsegment")
+    return KullbackLeibler()(part("('BUILDING', 'MACHINERY')"), part("('BUILDING', 'FURNITURE')")).select("metric", (F.col("value") == F.lit(inf)).alias("infinite"))
+
+
+# transport and Kolmogorov-Smirnov
+
+PARITY = ("event_type FROM events WHERE user_id % 2 = 0", "event_type FROM events WHERE user_id % 2 = 1")
+
+
+@query("earth_movers_distance", o.result("earth_movers_distance", "event_type", "event_type", "sum(abs(p - q)) / 2", o.nominal(*PARITY)))
+def _(spark, sf):
+    held = read_table(spark, sf, "events")
+    part = lambda k: column(held.where(F.col("user_id") % 2 == k).select("event_type"), "event_type")
+    return rounded(EarthMovers()(part(0), part(1)))
+
+
+@query("earth_movers_distance_nulls", o.result("earth_movers_distance", "event_type", "event_type", "sum(abs(p - q)) / 2", o.nominal("nullif(event_type, 'view') FROM events WHERE user_id % 2 = 0", "event_type FROM events WHERE user_id % 2 = 1")))
+def _(spark, sf):
+    held = read_table(spark, sf, "events")
+    a = held.where("user_id % 2 = 0").select(F.nullif("event_type", F.lit("view")).alias("event_type"))
+    return rounded(EarthMovers()(column(a, "event_type"), column(held.where("user_id % 2 = 1").select("event_type"), "event_type")))
+
+
+@query("earth_movers_distance_guard", "SELECT 'earth_movers_distance' AS metric, count(DISTINCT l_orderkey) > 10000 AS too_many FROM lineitem")
+def _(spark, sf):
+    held = read_table(spark, sf, "lineitem").select(F.concat(F.lit("k"), F.col("l_orderkey")).alias("k"))
+    return EarthMovers()(column(held, "k"), column(held, "k")).select("metric", F.isnan("value").alias("too_many"))
+
+
+def quantity_counts(spark, sf) -> DataFrame:
+    held = read_table(spark, sf, "lineitem")
+    return held.groupBy(F.col("l_quantity").cast("int").alias("at")).agg(F.count_if(F.col("l_returnflag") == "A").alias("x"), F.count_if(F.col("l_returnflag") == "R").alias("y"))
+
+
+_QUANTITIES = "WITH h AS (SELECT CAST(l_quantity AS INT) AS k, count(*) FILTER (l_returnflag = 'A') AS c0, count(*) FILTER (l_returnflag = 'R') AS c1 FROM lineitem GROUP BY 1)"
+
+
+@query("emd_binned_ordinal", o.result("earth_movers_distance_binned", "x", "y", "sum(abs(d)) - abs(max_by(d, k))", f"{_QUANTITIES}, {o.SHARES}, g AS (SELECT k, sum(p - q) OVER (ORDER BY k) AS d FROM f)", "g"))
+def _(spark, sf):
+    held = quantity_counts(spark, sf)
+    n = held.count()
+    return rounded(EarthMoversBinned(bin_edges=[float(i) for i in range(n + 1)], position="at")(column(held, "x"), column(held, "y")))
+
+
+@query("emd_binned_nominal", o.result("earth_movers_distance_binned", "x", "y", "sum(abs(p - q)) / 2", f"{_QUANTITIES}, {o.SHARES}"))
+def _(spark, sf):
+    held = quantity_counts(spark, sf)
+    return rounded(EarthMoversBinned()(column(held, "x"), column(held, "y")))
+
+
+@query("emd_binned_empty", "SELECT 'both' AS sides, 0.0::DOUBLE AS value UNION ALL SELECT 'one', 1.0::DOUBLE")
+def _(spark, sf):
+    held = spark.createDataFrame([(0, 0, 3), (1, 0, 4)], "x int, z int, y int")
+    zero, m = held.select((F.col("z") * 0).alias("x"), (F.col("z") * 0).alias("y")), EarthMoversBinned()
+    one = held.select((F.col("z") * 0).alias("x"), "y")
+    return m(column(zero, "x"), column(zero, "y")).select(F.lit("both").alias("sides"), "value").unionByName(m(column(one, "x"), column(one, "y")).select(F.lit("one").alias("sides"), "value"))
+
+
+@query("ks_distance", o.result("kolmogorov_smirnov_distance", "l_extendedprice", "l_extendedprice", "d", f"WITH j AS ({o.two_sides(*PRICE)})", f"({o.KS})"))
+def _(spark, sf):
+    return rounded(KolmogorovSmirnov()(*price_pair(spark, sf)))
+
+
+@query("ks_distance_nulls", o.result("kolmogorov_smirnov_distance", "v", "v", "d", f"WITH j AS ({o.two_sides('nullif(l_quantity, 5) FROM lineitem WHERE l_linenumber < 3', 'l_quantity FROM lineitem WHERE l_linenumber > 2 AND l_quantity < 41')})", f"({o.KS})"))
+def _(spark, sf):
+    held = read_table(spark, sf, "lineitem")
+    a = held.where("l_linenumber < 3").select(F.nullif("l_quantity", F.lit(5.0)).alias("v"))
+    return rounded(KolmogorovSmirnov()(column(a, "v"), column(held.where("l_linenumber > 2 AND l_quantity < 41").select(F.col("l_quantity").alias("v")), "v")))
+
+
+# association
+
+
+def _pair(metric: Metric, table: str, a: str, b: str) -> Query:
+    return lambda spark, sf: rounded(metric((held := ColumnRef(read_table(spark, sf, table), a)), ColumnRef(held.df, b)))
+
+
+query("cramers_v", o.result("cramers_v", "l_returnflag", "l_linestatus", o.cramers("lineitem", "l_returnflag", "l_linestatus"), source="(SELECT 1)"))(_pair(CramersV(), "lineitem", "l_returnflag", "l_linestatus"))
+query("cramers_v_zero_cells", o.result("cramers_v", "p_name", "p_brand", o.cramers("part", "p_name", "p_brand"), source="(SELECT 1)"))(_pair(CramersV(), "part", "p_name", "p_brand"))
+query("cramers_v_wide", o.result("cramers_v", "c_name", "c_mktsegment", o.cramers("customer", "c_name", "c_mktsegment"), source="(SELECT 1)"))(_pair(CramersV(), "customer", "c_name", "c_mktsegment"))
+
+
+@query("cramers_v_nulls", o.result("cramers_v", "a", "p_type", o.cramers("(SELECT nullif(p_brand, 'Brand#3') AS a, p_type FROM part)", "a", "p_type"), source="(SELECT 1)"))
+def _(spark, sf):
+    held = read_table(spark, sf, "part").select(F.nullif("p_brand", F.lit("Brand#3")).alias("a"), "p_type")
+    return rounded(CramersV()(column(held, "a"), column(held, "p_type")))
+
+
+@query("cramers_v_constant", o.result("cramers_v", "c", "p_brand", "0", source="(SELECT 1)"))
+def _(spark, sf):
+    held = read_table(spark, sf, "part").select(F.lit("same").alias("c"), "p_brand")
+    return rounded(CramersV()(column(held, "c"), column(held, "p_brand")))
+
+
+query("kendall_tau", o.result("kendall_tau_correlation", "p_retailprice", "p_partkey", o.kendall("part", "p_retailprice", "p_partkey"), source="(SELECT 1)"))(_pair(KendallTau(), "part", "p_retailprice", "p_partkey"))
+query("kendall_tau_ties", o.result("kendall_tau_correlation", "user_id", "value", o.kendall("events", "user_id", "value"), source="(SELECT 1)"))(_pair(KendallTau(), "events", "user_id", "value"))
+query("kendall_tau_not_ordinal", o.result("kendall_tau_correlation", "p_size", "p_retailprice", "NULL", source="(SELECT 1)"))(_pair(KendallTau(), "part", "p_size", "p_retailprice"))
+
+
+@query("kendall_tau_dates", o.result("kendall_tau_correlation", "ts", "value", o.kendall("(SELECT epoch_us(ts) AS ts, value FROM events WHERE event_id % 5 = 0)", "ts", "value"), source="(SELECT 1)"))
+def _(spark, sf):
+    held = read_table(spark, sf, "events").where("event_id % 5 = 0").select("ts", "value")
+    return rounded(KendallTau()(column(held, "ts"), column(held, "value")))
+
+
+_ORDER = "list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority)"
+
+
+@query("kendall_tau_categories", o.result("kendall_tau_correlation", "o_orderpriority", "o_totalprice", o.kendall(f"(SELECT {_ORDER} AS a, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)", "a", "o_totalprice"), source="(SELECT 1)"))
+def _(spark, sf):
+    held = read_table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderpriority", "o_totalprice")
+    held = categorical(held, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ordered=True)
+    return rounded(KendallTau()(column(held, "o_orderpriority"), column(held, "o_totalprice")))
+
+
+# whole tables
+
+NUMBERS = ("l_extendedprice", "l_quantity", "l_partkey")
+
+
+def flag_tables(spark, sf) -> tuple[DataFrame, DataFrame]:
+    held = read_table(spark, sf, "lineitem")
+    part = lambda f: held.where(F.col("l_returnflag") == f).select(*NUMBERS, "l_linestatus", "l_tax", "l_shipdate")
+    return part("A"), part("R")
+
+
+def map_rows(df: DataFrame) -> DataFrame:
+    return df.select("column", F.round("value", 8).alias("value"))
+
+
+def _sides(c: str) -> tuple[str, str]:
+    return tuple(f"{c} FROM lineitem WHERE l_returnflag = '{f}'" for f in "AR")
+
+
+_KS = {c: f"WITH j AS ({o.two_sides(*_sides(c))}) {o.KS}" for c in NUMBERS} | dict.fromkeys(("l_linestatus", "l_tax", "l_shipdate"), "NULL")
+_EMD = dict.fromkeys(NUMBERS, "NULL") | {c: f"{o.nominal(*_sides(c))} SELECT sum(abs(p - q)) / 2 FROM f" for c in ("l_linestatus", "l_tax")} | {"l_shipdate": "NULL"}
+_KL = {c: f"{(o.continuous_counts if c in NUMBERS else o.categorical_counts)(*_sides(c))}, {o.SHARES} SELECT {o.OF_SHARES['kullback_leibler_divergence']} FROM f" for c in (*NUMBERS, "l_linestatus", "l_tax")} | {"l_shipdate": "NULL"}
+
+query("two_column_map_ks", o.column_rows(_KS))(lambda spark, sf: map_rows(TwoColumnMap(KolmogorovSmirnov())(*flag_tables(spark, sf))))
+query("two_column_map_emd", o.column_rows(_EMD))(lambda spark, sf: map_rows(TwoColumnMap(EarthMovers())(*flag_tables(spark, sf))))
+query("two_column_map_kl", o.column_rows(_KL))(lambda spark, sf: map_rows(TwoColumnMap(KullbackLeibler())(*flag_tables(spark, sf))))
+query("two_column_map_kl_summary", f"SELECT round(avg(value), 8) AS value FROM ({o.column_rows(_KL)})")(
+    lambda spark, sf: summary_mean(TwoColumnMap(KullbackLeibler())(*flag_tables(spark, sf))).select(F.round("value", 8).alias("value")))
+query("two_column_map_ks_summary", f"SELECT round(avg(value), 8) AS value FROM ({o.column_rows(_KS)})")(
+    lambda spark, sf: summary_mean(TwoColumnMap(KolmogorovSmirnov())(*flag_tables(spark, sf))).select(F.round("value", 8).alias("value")))
+
+_MEANS = {"o_orderkey": "SELECT avg(o_orderkey) FROM orders", "o_custkey": "SELECT avg(o_custkey) FROM orders", "o_orderstatus": "NULL", "o_totalprice": "SELECT round(avg(o_totalprice), 4) FROM orders", "o_orderdate": "SELECT round(avg(epoch_us(o_orderdate) / 1e6)) FROM orders", "o_orderpriority": "NULL"}
+
+
+def mean_map(spark, sf) -> DataFrame:
+    found = OneColumnMap(Mean())(read_table(spark, sf, "orders"))
+    return found.select("column", F.when(F.col("column") == "o_orderdate", F.round("value")).when(F.col("column") == "o_totalprice", F.round("value", 4)).otherwise(F.round("value", 8)).alias("value"))
+
+
+query("one_column_map_mean", o.column_rows(_MEANS))(mean_map)
+query("one_column_map_mean_summary", f"SELECT round(avg(value), 2) AS value FROM ({o.column_rows(_MEANS)})")(lambda spark, sf: summary_mean(mean_map(spark, sf)).select(F.round("value", 2).alias("value")))
+
+LINE = ("l_linenumber", "l_discount", "l_returnflag", "l_linestatus", "l_quantity")
+_LINE = {(a, b): o.cramers("lineitem", a, b) for i, a in enumerate(LINE[:4]) for b in LINE[i + 1 : 4]}
+
+
+def matrix_cells(df: DataFrame) -> DataFrame:
+    return df.select("column_a", "column_b", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+query("corr_matrix_cramers_v", o.matrix_rows(LINE, _LINE))(lambda spark, sf: matrix_cells(CorrMatrix(CramersV())(read_table(spark, sf, "lineitem").select(*LINE))))
+query("corr_matrix_cramers_v_summary", "SELECT true AS no_value")(
+    lambda spark, sf: spark.createDataFrame([(CorrMatrix(CramersV()).summarize_result(CorrMatrix(CramersV())(read_table(spark, sf, "lineitem").select(*LINE[2:4]))) != 0.0,)], "no_value boolean"))
+
+EVENT = ("event_id", "user_id", "value", "event_type")
+_EVENTS = "(SELECT event_id, user_id, value FROM events WHERE event_id % 4 = 0)"
+query("corr_matrix_kendall", o.matrix_rows(EVENT, {(a, b): o.kendall(_EVENTS, a, b) for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value"))}))(
+    lambda spark, sf: matrix_cells(CorrMatrix(KendallTau())(read_table(spark, sf, "events").where("event_id % 4 = 0").select(*EVENT))))
+
+
+def matrix_difference(spark, sf) -> DataFrame:
+    held = read_table(spark, sf, "lineitem").select(*LINE[:2], "l_linestatus", "l_returnflag")
+    part = lambda f: held.where(F.col("l_returnflag") == f).drop("l_returnflag")
+    return DiffCorrMatrix(CramersV())(part("A"), part("R"))
+
+
+_DIFF = {}
+for _i, _a in enumerate(("l_linenumber", "l_discount", "l_linestatus")):
+    for _b in ("l_linenumber", "l_discount", "l_linestatus")[_i + 1 :]:
+        _DIFF[_a, _b] = " - ".join(f"CAST({o.cramers(f'''(SELECT * FROM lineitem WHERE l_returnflag = '{f}')''', _a, _b)} AS FLOAT)" for f in "AR")
+query("diff_corr_matrix", o.matrix_rows(("l_linenumber", "l_discount", "l_linestatus"), _DIFF))(lambda spark, sf: matrix_cells(matrix_difference(spark, sf)))
+query("diff_corr_matrix_summary", f"SELECT round(max(abs(value)), 4) AS value FROM ({o.matrix_rows(('l_linenumber', 'l_discount', 'l_linestatus'), _DIFF)})")(
+    lambda spark, sf: summary_most(matrix_difference(spark, sf)).select(F.round(F.col("value").cast("double"), 4).alias("value")))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All metrics of all columns of lineitem, lines accepted against lines returned."""
+    held = read_table(spark, sf_dir, "lineitem")
+    part = lambda f: held.where(F.col("l_returnflag") == f).drop("l_returnflag")
+    return compare_all(part("A"), part("R")).select("column", "metric", F.round("value", 8).alias("value"))
+
+
+_ALL = {"norm_l1": "norm_1", "norm_l2": "norm_2", "norm_inf": "norm_inf"}
+_COMPARED = " UNION ALL ".join(
+    [f"SELECT '{c}' AS column, '{_ALL.get(m, m)}' AS metric, round(CAST(({(o.continuous_counts if c in NUMBERS else o.categorical_counts)(*_sides(c))}, {o.SHARES} SELECT {formula} FROM f) AS DOUBLE), 8) AS value"
+     for c in ("l_extendedprice", "l_linestatus") for m, formula in o.OF_SHARES.items() if m in _ALL or not m.startswith("norm")]
+    + [f"SELECT 'l_extendedprice' AS column, 'kolmogorov_smirnov_distance' AS metric, round(CAST(({_KS['l_extendedprice']}) AS DOUBLE), 8) AS value",
+       f"SELECT 'l_linestatus' AS column, 'earth_movers_distance' AS metric, round(CAST(({_EMD['l_linestatus']}) AS DOUBLE), 8) AS value"])
+
+
+@query("compare_all", _COMPARED)
+def _(spark, sf):
+    a, b = flag_tables(spark, sf)
+    return compare_all(a.select("l_extendedprice", "l_linestatus"), b.select("l_extendedprice", "l_linestatus")).select("column", "metric", F.round("value", 8).alias("value"))
+
+
+query("compare_all_lineitem")(flagship)
+
+# intervals
+
+_Z = NormalDist().inv_cdf(0.975)
+
+
+def _interval(found: intervals.ConfidenceInterval, spark: SparkSession, places: int = 8) -> DataFrame:
+    return spark.createDataFrame([(round(found.limits[0], places), round(found.limits[1], places), found.level)], "low double, high double, level double")
+
+
+def proportion(spark, sf) -> tuple[float, int]:
+    p, n = read_table(spark, sf, "labels").agg(F.avg("quality"), F.count(F.lit(1))).first()
+    return p, n
+
+
+@query("binomial_normal", f"SELECT round(p - {_Z} * sqrt(p * (1 - p) / n), 8) AS low, round(p + {_Z} * sqrt(p * (1 - p) / n), 8) AS high, 0.95::DOUBLE AS level FROM (SELECT avg(quality) AS p, count(*) AS n FROM labels)")
+def _(spark, sf):
+    return _interval(intervals.binomial_proportion_interval(*proportion(spark, sf), method="normal"), spark)
+
+
+@query("binomial_agresti_coull", f"SELECT round(m - {_Z} * sqrt(m * (1 - m) / t), 8) AS low, round(m + {_Z} * sqrt(m * (1 - m) / t), 8) AS high, 0.95::DOUBLE AS level FROM (SELECT (sum(quality) + {_Z * _Z} / 2) / (count(*) + {_Z * _Z}) AS m, count(*) + {_Z * _Z} AS t FROM labels)")
+def _(spark, sf):
+    return _interval(intervals.binomial_proportion_interval(*proportion(spark, sf), method="agresti-coull"), spark)
+
+
+@query("binomial_clopper_pearson")
+def _(spark, sf):
+    return _interval(intervals.binomial_proportion_interval(*proportion(spark, sf)), spark)
+
+
+@query("binomial_difference", f"SELECT round(p - {_Z} * sqrt(p * (1 - p) / n) - t, 8) AS low, round(p + {_Z} * sqrt(p * (1 - p) / n) - t, 8) AS high, 0.95::DOUBLE AS level FROM (SELECT avg(quality) AS p, avg(toxic) AS t, count(*) AS n FROM labels)")
+def _(spark, sf):
+    held = read_table(spark, sf, "labels")
+    return _interval(intervals.compute_binomial_interval(column(held, "quality"), column(held, "toxic"), "normal"), spark)
+
+
+@query("bootstrap_mean_interval")
+def _(spark, sf):
+    return _interval(intervals.compute_bootstrap_interval(Mean(), column(read_table(spark, sf, "events"), "value")), spark)
+
+
+@query("bootstrap_hellinger_interval")
+def _(spark, sf):
+    return _interval(intervals.compute_bootstrap_interval(Hellinger(), *priority_pair(spark, sf), n_samples=200), spark)
+
+
+@query("bootstrap_binned_interval")
+def _(spark, sf):
+    rows = quantity_counts(spark, sf).orderBy("at").collect()
+    return _interval(intervals.compute_bootstrap_interval(EarthMoversBinned(bin_edges=list(range(len(rows) + 1))), [r.x for r in rows], [r.y for r in rows], binned=True), spark)
+
+
+# data of plots
+
+
+@query("cross_table", "SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL")
+def _(spark, sf):
+    return plotdata.cross_table(read_table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query("cross_tables", """WITH t AS (SELECT p_type AS a, p_name AS b, p_partkey % 2 AS side FROM part WHERE p_partkey % 7 = 0)
+    SELECT x.a, y.b, count(t.side) FILTER (t.side = 0) AS n_test, count(t.side) FILTER (t.side = 1) AS n_synth
+    FROM (SELECT DISTINCT a FROM t) x CROSS JOIN (SELECT DISTINCT b FROM t) y LEFT JOIN t ON t.a = x.a AND t.b = y.b GROUP BY ALL""")
+def _(spark, sf):
+    held = read_table(spark, sf, "part").where("p_partkey % 7 = 0")
+    return plotdata.cross_tables(held.where("p_partkey % 2 = 0"), held.where("p_partkey % 2 = 1"), "p_type", "p_name")
+
+
+@query("plot_categorical", "SELECT CASE side WHEN 0 THEN 'orig' ELSE 'synth' END AS dataset, v AS value, substr(v, 1, 25) AS label, count(*) AS n FROM (SELECT l_linenumber % 2 AS side, l_returnflag AS v FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber IN (1, 2)) GROUP BY ALL")
+def _(spark, sf):
+    held = read_table(spark, sf, "lineitem").where("l_orderkey % 2 = 0")
+    part = lambda k: column(held.where(F.col("l_linenumber") == k).select("l_returnflag"), "l_returnflag")
+    # the larger of the two isn't drawn down here, so that the counts are certain
+    parts = [plotdata.categorical_counts([part(k)], None, [name]) for k, name in ((2, "orig"), (1, "synth"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("plot_categorical_sampled")
+def _(spark, sf):
+    return plotdata.categorical_counts(priority_pair(spark, sf), 1_000)
+
+
+_WINDOW = "SELECT quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM events WHERE event_type = 'click'"
+
+
+@query("plot_continuous", f"SELECT 'orig' AS dataset, count(*) AS n, round(sum(value), 4) AS total FROM events, ({_WINDOW}) WHERE event_type = 'click' AND value BETWEEN lo AND hi")
+def _(spark, sf):
+    held = read_table(spark, sf, "events").where("event_type = 'click'").select("value")
+    kept, _ = plotdata.continuous_window([column(held, "value")], remove_outliers=0.1)
+    return kept.groupBy("dataset").agg(F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("plot_kde", """WITH s AS (SELECT value AS v FROM events WHERE event_id % 10 = 0), t AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM s),
+    g AS (SELECT n, h, lo - 3 * h + k * ((hi - lo + 6 * h) / 199) AS x FROM t, (SELECT unnest(range(0, 200)) AS k))
+    SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density FROM g, s GROUP BY x""")
+def _(spark, sf):
+    held = read_table(spark, sf, "events").where("event_id % 10 = 0").select("value")
+    return plotdata.continuous_column(column(held, "value")).select(F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
+_PLAN = {"o_orderkey": "continuous", "o_custkey": "continuous", "o_orderstatus": "categorical", "o_totalprice": "continuous", "o_orderdate": "continuous", "o_orderpriority": "categorical"}
+
+
+@query("plot_dataset_plan", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, '{p}' AS panel, {i // 2} AS row, {i % 2} AS col, 3 AS rows, {f'(SELECT count(DISTINCT {c}) FROM orders)' if p == 'categorical' else 'CAST(0 AS BIGINT)'} AS n_categories" for i, (c, p) in enumerate(_PLAN.items())))
+def _(spark, sf):
+    held = read_table(spark, sf, "orders")
+    return plotdata.dataset_plan([held.where("o_orderkey % 2 = 0"), held.where("o_orderkey % 2 = 1")])
+
+
+@query("plot_dataset_text", "SELECT 'p_name' AS column, 'text' AS panel, count(DISTINCT p_name) AS n_categories FROM part")
+def _(spark, sf):
+    return plotdata.dataset_plan([read_table(spark, sf, "part").select("p_name")]).select("column", "panel", "n_categories")
+
+
+@query("plot_labels", "SELECT DISTINCT substr(concat(c_name, ' of ', c_mktsegment), 1, 25) AS label FROM customer")
+def _(spark, sf):
+    held = read_table(spark, sf, "customer").select(F.concat("c_name", F.lit(" of "), "c_mktsegment").alias("v"))
+    return plotdata.categorical_counts([column(held, "v")], None).select("label").distinct()
+
+
+# registry, configuration and store
+
+
+@query("registry", " UNION ALL ".join(f"SELECT '{n}' AS name" for n in (
+    "mean", "standard_deviation", "kendall_tau_correlation", "cramers_v", "earth_movers_distance", "kullback_leibler_divergence", "jensen_shannon_divergence", "hellinger_distance", "norm",
+    "earth_movers_distance_binned", "bhattacharyya_coefficient", "total_variation_distance", "kolmogorov_smirnov_distance")))
+def _(spark, sf):
+    return spark.createDataFrame([(n,) for n, kind in Metric.registry.items() if kind.name == n], "name string")
+
+
+@query("from_dict", _SQL["norm_l3_continuous"])
+def _(spark, sf):
+    made = Metric.from_dict(json.loads(json.dumps(Norm(ord=3).to_dict())), check=ColumnCheck())
+    return rounded(made(*price_pair(spark, sf)))
+
+
+def _stored(spark: SparkSession, sf: str):
+    """A store of the results of a map; its folder is in the session's checkpoint folder, or local where there is none."""
+    import tempfile
+    import uuid
+
+    from tabgauge.sources.store import ResultStore
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    store = ResultStore(spark, f"{shared}/store-{uuid.uuid4().hex}", version="1")
+    held = read_table(spark, sf, "part")
+    with Metric.kept_in(store):
+        Mean()(column(held, "p_retailprice"), dataset="part")
+        CramersV()(column(held, "p_brand"), column(held, "p_type"), dataset="part")
+        Mean()(column(held, "p_retailprice"), dataset="part again")
+    return store
+
+
+_STORED = "(SELECT round(avg(p_retailprice), 6) FROM part)"
+
+
+@query("store_roundtrip", f"""SELECT 1 AS id, 'mean' AS metric, 'part' AS dataset, '1' AS version, {_STORED} AS value
+    UNION ALL SELECT 2, 'cramers_v', 'part', '1', round({o.cramers('part', 'p_brand', 'p_type')}, 6) UNION ALL SELECT 3, 'mean', 'part again', '1', {_STORED}""")
+def _(spark, sf):
+    return _stored(spark, sf).results().select("id", "metric", "dataset", "version", F.round("value", 6).alias("value"))
+
+
+@query("dimension_get_or_create", "SELECT 'dataset' AS dimension, 1 AS id, 'part' AS name UNION ALL SELECT 'dataset', 2, 'part again' UNION ALL SELECT 'metric', 1, 'mean' UNION ALL SELECT 'metric', 2, 'cramers_v' UNION ALL SELECT 'version', 1, '1'")
+def _(spark, sf):
+    store = _stored(spark, sf)
+    parts = [store.read(t).select(F.lit(t).alias("dimension"), "id", "name") for t in ("dataset", "metric", "version")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
