@@ -212,9 +212,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = connected(links(nodes.select("fp")), "a", "b")
-    owned = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    owned = cut(owned)
-    named = owned.join(owned.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root").unionByName(
+        nodes.join(roots.select("root").distinct(), nodes.fp == F.col("root")).select("fp", "least", "root")))
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join with a large component can be split
+    named = linked.join(least, "root").select("fp", "component_id").unionByName(
+        nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id")))
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
