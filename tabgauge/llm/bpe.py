@@ -42,22 +42,51 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(arrays, protocol=5))
-
-
-def _unpack(blob: bytes) -> tuple:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-
-
-def _planes(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The lower, middle and upper bytes of numbers below 2**32: apart, they compress well."""
-    x = x.astype(np.uint32)
-    return (x & 255).astype(np.uint8), (x >> 8 & 255).astype(np.uint8), (x >> 16).astype(np.uint16)
-
-
-def _joined(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint32) | middle.astype(np.uint32) << 8 | high.astype(np.uint32) << 16
+def _pack(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays in the narrowest type that holds their numbers, and bytes, compressed."""
+    out = []
+    for x in parts:
+        if not isinstance(x, bytes):
+            kind = np.dtype(np.min_scalar_type(int(x.max()))) if len(x) else np.dtype(np.uint8)
+            x = x.astype(kind).tobytes()
+            out.append(b"%c" % kind.itemsize)
+        else:
+            out.append(b"\0")
+        out += [len(x).to_bytes(8, "little"), x]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
+
+
+def _unpack(blob: bytes) -> list:
+    held, at, out = zstandard.ZstdDecompressor().decompress(blob), 0, []
+    while at < len(held):
+        width, n = held[at], int.from_bytes(held[at + 1 : at + 9], "little")
+        at += 9
+        out.append(held[at : at + n] if width == 0 else np.frombuffer(held, f"<u{width}", n // width, at))
+        at += n
+    return out
+
+
+_SHORT = 240
+
+
+def _spread(codes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Small numbers as a byte; of others the upper part as a byte above _SHORT, and two lower bytes apart."""
+    over = codes >= _SHORT
+    rest = codes[over] - _SHORT
+    if len(rest) and int(rest.max()) >= (256 - _SHORT) << 16:
+        return (codes,)
+    lead = codes.copy()
+    lead[over] = _SHORT + (rest >> 16)
+    return lead, rest & 255, rest >> 8 & 255
+
+
+def _gathered(parts: list[np.ndarray]) -> np.ndarray:
+    if len(parts) == 1:
+        return parts[0].astype(np.uint32)
+    codes = parts[0].astype(np.uint32)
+    over = codes >= _SHORT
+    codes[over] = ((codes[over] - _SHORT) << 16) + (parts[2].astype(np.uint32) << 8) + parts[1] + _SHORT
+    return codes
 
 
 class Block:
@@ -85,12 +114,10 @@ class Block:
         words = [words[i] for i in order]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint16, len(words))
         lengths = np.fromiter(map(len, self.codes), np.uint32, len(self.codes))
-        positions = _pack(self.ids, lengths, _planes(rank[codes]), bucket)
-        dealt, by_bucket = [], np.argsort(bucket, kind="stable")
-        for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1) if len(words) else []:
-            held = [words[i] for i in own]
-            dealt.append((int(bucket[own[0]]), np.fromiter(map(len, held), np.uint32, len(held)), b"".join(held)))
-        return positions, _pack(dealt)
+        positions = _pack(pickle.dumps(self.ids), lengths, bucket, *_spread(rank[codes]))
+        by_bucket = np.argsort(bucket, kind="stable")
+        held = [words[i] for i in by_bucket]
+        return positions, _pack(np.bincount(bucket, minlength=buckets), np.fromiter(map(len, held), np.uint32, len(held)), b"".join(held))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text",
@@ -124,10 +151,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("words")):
-                (dealt,) = _unpack(blob.as_py())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([b for b, _, _ in dealt], pa.int32()), pa.array([block] * len(dealt), pa.int64()),
-                    pa.array([_pack(*own) for _, *own in dealt], pa.binary())], names=["bucket", "block", "words"])
+                counts, lengths, data = _unpack(blob.as_py())
+                full, last = np.flatnonzero(counts), np.cumsum(counts, dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+                own = [_pack(lengths[last[b] - counts[b] : last[b]], data[ends[last[b] - counts[b]] : ends[last[b]]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([block] * len(full), pa.int64()), pa.array(own, pa.binary())], names=["bucket", "block", "words"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
@@ -147,18 +175,18 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
                         got = known[word] = np.array(piece(word), np.uint32).tobytes()
                     ids.append(got)
                 counts = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-                out.append(_pack(_planes(counts), _planes(np.frombuffer(b"".join(ids), np.uint32))))
+                out.append(_pack(counts, np.frombuffer(b"".join(ids), np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "ids"])
 
     def assemble(asked: pa.Table, given: pa.Table) -> pa.Table:
-        doc_ids, lengths, codes, bucket = _unpack(asked.column("positions")[0].as_py())
-        codes = _joined(*codes)
+        doc_ids, lengths, bucket, *codes = _unpack(asked.column("positions")[0].as_py())
+        codes = _gathered(codes)
         counts, flat = np.zeros(len(bucket), np.int64), np.zeros(0, np.uint32)
         order = np.argsort(bucket, kind="stable")  # words as they were dealt: by bucket, then by number
         parts = [_unpack(blob) for _, blob in sorted(zip(given.column("bucket").to_pylist(), given.column("ids").to_pylist()))]
         if parts:
-            counts[order] = np.concatenate([_joined(*c) for c, _ in parts])
-            flat = np.concatenate([_joined(*i) for _, i in parts])
+            counts[order] = np.concatenate([c for c, _ in parts])
+            flat = np.concatenate([i for _, i in parts])
         starts = np.empty(len(bucket), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
         chunks, step = [np.zeros(0, np.int32)], 1 << 18
@@ -171,7 +199,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
             chunks.append(flat[first + np.arange(len(first))].astype(np.int32))
         ends = before[np.cumsum(lengths, dtype=np.int64)]
         ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int64()), pa.array(np.concatenate(chunks))).cast(pa.list_(pa.int32()))
-        return pa.table({id_col: pa.array(doc_ids, id_arrow), "ids": ids})
+        return pa.table({id_col: pa.array(pickle.loads(doc_ids), id_arrow), "ids": ids})
 
     blocks = source.mapInArrow(split, "block bigint, positions binary, words binary").repartition(n, "block")
     words = blocks.mapInArrow(deal, "bucket int, block bigint, words binary").repartition(n, "bucket").sortWithinPartitions("bucket")

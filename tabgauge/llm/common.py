@@ -16,7 +16,20 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows and bytes of a batch between the JVM and Python, unless the session sets its own; texts are long, so these are below Spark's defaults.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "16777216")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Replace Spark's default batch sizes in this session; sizes that were set stay."""
+    for name, (default, ours) in BATCH.items():
+        if str(spark.conf.get(name, default)).rstrip("b") in (default, "64MB", "64m"):
+            spark.conf.set(name, ours)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table for a query, whose batches are small from then on."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
