@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgauge.llm import bpe, decontamination, exact_dedup, quality, simhash
-from tabgauge.llm.common import read, reread
+from tabgauge.llm.common import read, reread, small_batches
 from tabgauge.llm.queries import learnable
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the stage's input, accepts."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, learnable(spark, sf_dir)))
 
 
@@ -26,6 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that with the smallest id."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -36,6 +38,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the SHA-256 of the bytes that the ids decode to."""
+    small_batches(spark)
     found = bpe.decode(bpe.encode(docs))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
