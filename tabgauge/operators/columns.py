@@ -59,6 +59,9 @@ def as_ref(x) -> ColumnRef:
         kind = T.BooleanType() if kinds == {bool} else T.LongType() if kinds == {int} else T.DoubleType() if kinds <= {int, float} and kinds else T.StringType()
         cast = {T.BooleanType: bool, T.LongType: int, T.DoubleType: float, T.StringType: str}[type(kind)]
         df = spark.createDataFrame([(None if v is None else cast(v),) for v in held], T.StructType([T.StructField(name, kind)]))
+    elif not len(frame):
+        kind = T.TimestampNTZType() if values.dtype.kind == "M" else T.BooleanType() if values.dtype.kind == "b" else T.LongType() if values.dtype.kind in "iu" else T.DoubleType()
+        df = spark.createDataFrame([], T.StructType([T.StructField(name, kind)]))
     else:
         df = spark.createDataFrame(frame)
     return ColumnRef(df.select(F.col(f"`{name}`").alias(name, metadata=metadata)) if metadata else df, name)

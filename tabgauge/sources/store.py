@@ -156,7 +156,15 @@ class JdbcResultStore(ResultStore):
 
     def _write(self, rows: DataFrame, table: str) -> None:
         name = f"{table}_dim" if table != "result" else "result_fact"
-        rows.write.format("jdbc").options(**self.options).option("dbtable", name).mode("append").save()
+        texts = ", ".join(f"{f.name} VARCHAR(200)" for f in rows.schema if isinstance(f.dataType, T.StringType))
+        if self._exists(table):  # columns without any value are left out: not all databases take a NULL of Spark's text type
+            held = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
+            rows = rows.select(*[c for c in rows.columns if held[c]]) if any(held) else rows.limit(0)
+        elif rows.schema.names and not rows.isEmpty():
+            self.ensure_schema()
+            return self._write(rows, table)
+        writer = rows.write.format("jdbc").options(**self.options).option("dbtable", name)
+        (writer.option("createTableColumnTypes", texts) if texts else writer).mode("append").save()
 
     def read(self, table: str) -> DataFrame:
         if not self._exists(table):
