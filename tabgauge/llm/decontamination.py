@@ -28,8 +28,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tabgauge.llm.common import cut, pieces
 from tabgauge.llm.features import pack, words
 
-#: Fixed masks; 1: the token counts.
-MASKS = ("110110110111", "111010011011", "101101110101", "111111110000", "000011111111")
+#: Fixed masks of eight tokens and more; 1: the token counts. The first ones pass every fifth to every eighth token substituted and runs of eight
+#: equal tokens, the others some irregular substitutions.
+MASKS = ("111101111", "111110111", "111111011", "111111101", "11111111", "110110110111", "111010011011", "101101110101")
 SPAN = 12
 MIN_TOKENS = 13
 MIN_ITEM = 5

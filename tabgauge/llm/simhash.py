@@ -21,19 +21,25 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tabgauge.llm.common import BROADCAST_ROWS, cut, small
+from tabgauge.llm.common import BROADCAST_ROWS, cut, pieces, small
 from tabgauge.llm.components import connected
+from tabgauge.llm.decontamination import tokens
+from tabgauge.llm.features import mix
 
 SHINGLE = 4
 SEED = 42
 LIMIT = 4
 CAP = 50_000
 FAN = 8
+#: Of near copies that a filter drops beside equal components: words of a shingle, least Jaccard similarity, and fingerprints to find candidates by.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, 12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -162,22 +168,22 @@ def index_links(v: np.ndarray, fixed: int, limit: int = LIMIT, chunk: int = 20_0
 
 
 def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
-    """Links (a, b) between distinct fingerprints ``fp`` (each once) that connect all that differ in at most LIMIT bits."""
-    parts = blocks(64, LIMIT + 1)
-    dealt = fps.select("fp", F.explode(F.array(*[
+    """Links (seed, a, b) between distinct fingerprints (seed, fp) of one seed, each once, that connect all that differ in at most LIMIT bits."""
+    parts, key = blocks(64, LIMIT + 1), ["seed", "turn", "value"]
+    dealt = fps.select("seed", "fp", F.explode(F.array(*[
         F.struct(F.lit(k).alias("turn"), F.lit(-1).alias("again"), F.shiftrightunsigned(F.shiftleft("fp", at), 64 - width).alias("value"), F.lit(0).cast("long").alias("second"))
-        for k, (at, width) in enumerate(parts)])).alias("k")).select("fp", "k.*")
-    full = cut(dealt.groupBy("turn", "value").count().where(F.col("count") > cap).select("turn", "value"))
+        for k, (at, width) in enumerate(parts)])).alias("k")).select("seed", "fp", "k.*")
+    full = cut(dealt.groupBy(*key).count().where(F.col("count") > cap).select(*key))
     if not full.isEmpty():
-        flagged = dealt.join(small(full.withColumn("_full", F.lit(True)), BROADCAST_ROWS), ["turn", "value"], "left")
-        rest = flagged.where(F.col("_full").isNull()).drop("_full").select(*dealt.columns)
-        hot = flagged.where("_full").drop("_full")
+        flagged = dealt.join(small(full.withColumn("_full", F.lit(True)), BROADCAST_ROWS), key, "left")
+        rest = flagged.where(F.col("_full").isNull()).select(*dealt.columns)
+        hot = flagged.where("_full")
         again = []
         for k, (at, width) in enumerate(parts):  # the other bits, after the block, in five parts of their own
             for r, (at2, width2) in enumerate(blocks(64 - width, LIMIT + 1)):
                 start = (at + width + at2) % 64  # where the part starts, counted from the top and around
                 turned = F.col("fp") if start == 0 else F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start))
-                again.append(hot.where(F.col("turn") == k).select("fp", "turn", F.lit(r).alias("again"), "value", F.shiftrightunsigned(turned, 64 - width2).alias("second")))
+                again.append(hot.where(F.col("turn") == k).select("seed", "fp", "turn", F.lit(r).alias("again"), "value", F.shiftrightunsigned(turned, 64 - width2).alias("second")))
         dealt = rest
         for part in again:
             dealt = dealt.unionByName(part)
@@ -188,30 +194,31 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
             return
         table = pa.Table.from_batches(held)
         fp = table.column("fp").to_numpy().view(np.uint64)
-        turn, again = table.column("turn").to_numpy(), table.column("again").to_numpy()
-        for k, (at, width) in enumerate(parts):
-            inner = blocks(64 - width, LIMIT + 1)
-            for r in range(-1, LIMIT + 1):
-                own = fp[(turn == k) & (again == r)]
-                if not len(own):
-                    continue
-                v = rotate(own, at)
-                if r >= 0:
-                    v = rotate(v, inner[r][0], 64 - width)
-                to = index_links(v, width + (inner[r][1] if r >= 0 else 0))
-                linked = np.flatnonzero(to != np.arange(len(own)))
-                if len(linked):
-                    yield pa.RecordBatch.from_arrays([pa.array(own[linked].view(np.int64)), pa.array(own[to[linked]].view(np.int64))], names=["a", "b"])
+        group = np.column_stack([table.column(c).to_numpy() for c in ("seed", "turn", "again")])
+        order = np.lexsort(group.T)
+        group, fp = group[order], fp[order]
+        edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
+        for at, end in zip(edge, np.append(edge[1:], len(fp))):
+            seed, k, r = group[at].tolist()
+            own, (offset, width) = fp[at:end], parts[k]
+            v = rotate(own, offset)
+            if r >= 0:
+                inner = blocks(64 - width, LIMIT + 1)[r]
+                v, width = rotate(v, inner[0], 64 - width), width + inner[1]
+            to = index_links(v, width)
+            linked = np.flatnonzero(to != np.arange(len(own)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(linked), seed, np.int32)), pa.array(own[linked].view(np.int64)), pa.array(own[to[linked]].view(np.int64))], names=["seed", "a", "b"])
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "turn", "value", "again", "second").select("fp", "turn", "again").mapInArrow(run, "a bigint, b bigint")
+    return dealt.repartition(n, *key, "again", "second").select("seed", "fp", "turn", "again").mapInArrow(run, "seed int, a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``id_col``, fp and component_id, the smallest id that links reach."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected(links(nodes.select("fp")), "a", "b")
+    roots = connected(links(nodes.select(F.lit(0).alias("seed"), "fp")), "a", "b")
     linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root").unionByName(
         nodes.join(roots.select("root").distinct(), nodes.fp == F.col("root")).select("fp", "least", "root")))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join with a large component can be split
@@ -220,11 +227,118 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` with one row of each component: the one with the component's id. All columns stay.
+def word_fingerprints(texts: list[str | None], seeds: int) -> np.ndarray:
+    """(texts, seeds) fingerprints of successive pairs of words (of the word, if there is one only), for each seed apart."""
+    hashed, owner = tokens(texts)
+    n = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
+    pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:]) if len(hashed) else hashed
+    inside = np.concatenate([owner[1:] == owner[:-1], [False]]) if len(owner) else np.zeros(0, bool)
+    lone = n[owner] == 1 if len(owner) else inside
+    held, own = np.where(lone, hashed, np.append(pair, np.uint64(0)) if len(hashed) else hashed)[inside | lone], owner[inside | lone]
+    out = np.zeros((len(texts), seeds), np.uint64)
+    if not len(held):
+        return out
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    count = np.diff(np.append(first, len(own)))
+    for s in range(seeds):
+        bits = np.unpackbits(mix(held + np.uint64(0x9E3779B97F4A7C15 * (s + 1) % 2**64)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        most = 2 * np.add.reduceat(bits, first, axis=0, dtype=np.int64) > count[:, None]
+        out[own[first], s] = np.packbits(most, axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted 32-bit hashes of the text's shingles (fewer words: of all of them), each once."""
+    hashed, _ = tokens([text])
+    if not len(hashed):
+        return np.zeros(0, np.uint32)
+    width = min(shingle, len(hashed))
+    h = np.zeros(len(hashed) - width + 1, np.uint64)
+    for i in range(width):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + hashed[i : len(hashed) - width + 1 + i])
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets' Jaccard similarity is at least ``similarity``; empty sets are like nothing."""
+    if not len(a) or not len(b) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
-    Ids are taken to be distinct; rows without an id stay. The dropped ids are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: int = COPY_SEEDS, leaders: int = 16) -> DataFrame:
+    """Ids of documents that have ``similarity`` with a document that stays (Jaccard, of ``shingle`` words).
+
+    Candidates are components of documents that any of ``seeds`` fingerprints of word pairs puts within LIMIT bits. In each component the smallest ids lead,
+    ``leaders`` at a time: one that is like an earlier leader goes, and so does every other member that is like a leader that stays; those that are left are next. So no
+    two documents of a component that both stay are alike, and none goes that isn't like one that stays. Ids are taken to be distinct; rows without one stay.
+    """
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col, 1 << 18):
+            fp = word_fingerprints(batch.column(1).to_pylist(), seeds)
+            row, seed = np.nonzero(fp)  # texts without words have 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(seed.astype(np.int32)), pa.array(fp[row, seed].view(np.int64))], names=[id_col, "seed", "fp"])
+
+    source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
+    kind = source.schema[0].dataType.simpleString()
+    marked = cut(source.mapInArrow(prints, f"`{id_col}` {kind}, seed int, fp bigint"))
+    # A document is tied to the least one with its fingerprint of a seed, and these to each other by the links of their fingerprints.
+    least = cut(marked.groupBy("seed", "fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
+    a, b = (least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in ("a", "b"))
+    edges = links(least.select("seed", "fp")).join(a, ["seed", "a"]).join(b, ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    edges = edges.union(marked.join(least.where("n > 1"), ["seed", "fp"]).select(F.col(id_col), "least").where(F.col(id_col) != F.col("least")))
+    roots = connected(edges.distinct(), "a", "b")
+    group = cut(roots.select(F.col("node").alias(id_col), "root").union(roots.select("root", "root").distinct()))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["id", "root", "held"])
+
+    left = cut(source.join(small(group), id_col).select(id_col, "root", text_col).mapInArrow(sets, f"id {kind}, root {kind}, held binary"))
+    gone = None
+
+    def lead(frame: pd.DataFrame) -> pd.DataFrame:
+        stay, out = [], []
+        for i, held in frame.sort_values("id")[["id", "held"]].itertuples(index=False):
+            x = np.frombuffer(held, np.uint32)
+            if any(alike(x, y, similarity) for y in stay):
+                out.append(i)
+            else:
+                stay.append(x)
+        ends = np.cumsum([len(x) for x in stay])
+        return pd.DataFrame({"root": [frame["root"].iloc[0]], "stay": [np.concatenate(stay).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "out": [out], "last": [frame["id"].max()]})
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = []
+            for held, stay, ends in zip(*(batch.column(c) for c in ("held", "stay", "ends"))):
+                x, every, at = np.frombuffer(held.as_py(), np.uint32), np.frombuffer(stay.as_py(), np.uint32), np.frombuffer(ends.as_py(), np.int64)
+                like.append(any(alike(x, y, similarity) for y in np.split(every, at[:-1])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "held")), pa.array(like)], names=["id", "root", "held", "like"])
+
+    while not left.isEmpty():
+        first = left.select("root", "id", "held").withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("_n") <= leaders).drop("_n")
+        led = cut(first.groupBy("root").applyInPandas(lead, f"root {kind}, stay binary, ends binary, out array<{kind}>, last {kind}"))
+        rest = left.join(led.select("root", "stay", "ends", "last"), "root").where(F.col("id") > F.col("last"))
+        judged = cut(rest.select("id", "root", "held", "stay", "ends").mapInArrow(follow, f"id {kind}, root {kind}, held binary, like boolean"))
+        now = led.select(F.explode("out").alias(id_col)).union(judged.where("like").select("id"))
+        gone = now if gone is None else gone.union(now)
+        left = cut(judged.where("NOT like").drop("like"))
+    return gone if gone is not None else source.select(id_col).limit(0)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = COPY_SIMILARITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns.
+
+    First the documents of a component of fingerprints give way to the one with the component's id; then, unless ``similarity`` is None, ``similar_copies`` of
+    what is left do. Ids are taken to be distinct; rows without an id stay. The dropped ids are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
     """
     found = near_duplicates(docs, id_col, text_col, shingle)
     gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
-    return docs.join(small(gone, broadcast_rows), id_col, "left_anti")
+    left = docs.join(small(gone, broadcast_rows), id_col, "left_anti")
+    if similarity is None:
+        return left
+    copies = cut(similar_copies(left, id_col, text_col, similarity=similarity))
+    return left.join(small(copies, broadcast_rows), id_col, "left_anti")

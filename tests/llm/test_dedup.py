@@ -116,13 +116,49 @@ def test_simhash_odd_rows_and_one_left(spark):
     assert by_id[1].fp == by_id[2].fp == by_id[6].fp == 0 and by_id[6].component_id == 1
     table_ = docs(spark, near_rows())
     for limit in (1_000_000, 0):
-        left = simhash.keep_one(table_, broadcast_rows=limit)
+        left = simhash.keep_one(table_, similarity=None, broadcast_rows=limit)
         assert left.columns == table_.columns
         comps = {r.component_id for r in simhash.near_duplicates(table_).collect()}
         assert {r.doc_id for r in left.collect()} == comps
     assert simhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+def jaccard(a, b):
+    split = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4)) if w}
+    x, y = split(a), split(b)
+    return len(x & y) / len(x | y) if x and y else 0.0
+
+
+@pytest.mark.parametrize("leaders", [16, 1])
+def test_similar_copies(spark, leaders):
+    rng, rows = random.Random(9), [(None, "kept as it has no id"), (None, "kept as it has no id"), (1, None), (2, ""), (3, "one"), (4, "One"), (5, "one two"), (6, words(60_000, 4)), (7, words(60_000, 4) + " more")]
+    for g in range(8):
+        base = words(200, 900 + g).split()
+        for k in range(12):
+            w = list(base)
+            for _ in range(k % 6):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
+            rows.append((100 * g + 10 + k, " ".join(w)))
+    gone = {r[0] for r in simhash.similar_copies(docs(spark, rows), leaders=leaders).collect()}
+    stay = [(i, t) for i, t in rows if i is not None and i not in gone]
+    by_id = {i: t for i, t in rows if i is not None}
+    assert {4, 7} <= gone and not gone & {1, 2, 5, None}
+    for i in gone:  # none goes without one that stays and is like it
+        assert any(j < i and jaccard(t, by_id[i]) >= 0.8 for j, t in stay)
+    for k, (i, t) in enumerate(stay):
+        assert all(jaccard(t, u) < 0.8 for _, u in stay[k + 1 :])
+    left = simhash.keep_one(docs(spark, rows))
+    assert left.where("doc_id IS NULL").count() == 2 and left.columns == docs(spark, rows).columns
+    assert simhash.similar_copies(docs(spark, []), leaders=leaders).collect() == []
+
+
+def test_word_fingerprints_do_not_depend_on_neighbours():
+    texts = ["a b c d", "", None, "one", "x y", "a b c d"]
+    every = simhash.word_fingerprints(texts, 3)
+    assert np.array_equal(every, np.concatenate([simhash.word_fingerprints([t], 3) for t in texts]))
+    assert (every[0] == every[5]).all() and not every[1].any() and every[3].all()
+
+
 def test_long_texts_are_counted_in_chunks():
     text = words(40_000, 5)
     assert simhash.fingerprint(text) == brute_fingerprint(text)
@@ -141,8 +177,10 @@ def balls(seed, centers, n, flips):
 def test_index_finds_every_link(spark, seed, centers, n, flips, cap):
     """A small cap deals full blocks out again, by the other bits."""
     v = balls(seed, centers, n, flips)
-    fps = spark.createDataFrame([(int(x),) for x in v.view(np.int64)], "fp long")
-    roots = {r.node: r.root for r in components.connected(simhash.links(fps, cap), "a", "b").collect()}
+    fps = spark.createDataFrame([(s, int(x)) for x in v.view(np.int64) for s in (0, 3)], "seed int, fp long")
+    found = simhash.links(fps, cap).cache()
+    assert {r.seed for r in found.collect()} == {0, 3}
+    roots = {r.node: r.root for r in components.connected(found.where("seed = 3"), "a", "b").collect()}
     got = [roots.get(int(x), int(x)) for x in v.view(np.int64)]
     label = brute_components(v)
     pairs = {(a, b) for a, b in zip(got, label.tolist())}
