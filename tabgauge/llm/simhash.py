@@ -30,8 +30,7 @@ from pyspark.sql.window import Window
 
 from tabgauge.llm.common import BROADCAST_ROWS, cut, pieces, small
 from tabgauge.llm.components import connected
-from tabgauge.llm.decontamination import tokens
-from tabgauge.llm.features import mix
+from tabgauge.llm.features import mix, pack, words
 
 SHINGLE = 4
 SEED = 42
@@ -39,22 +38,23 @@ LIMIT = 4
 CAP = 50_000
 FAN = 8
 #: Of near copies that a filter drops beside equal components: words of a shingle, least Jaccard similarity, and fingerprints to find candidates by.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, 12
+COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, 6
+_APART = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The unsigned 64-bit fingerprint of a text."""
-    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()  # splits at space, \t, \n, \v, \f, \r
-    if not words:
+    found = (text or "").encode("utf-8", "replace").translate(_LOWER).split()  # splits at space, \t, \n, \v, \f, \r
+    if not found:
         return 0
     digest, seed = xxhash.xxh64_intdigest, SEED
-    whole = b" ".join(words)
-    if len(words) <= shingle:
+    whole = b" ".join(found)
+    if len(found) <= shingle:
         return digest(whole, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    first, last = starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
+    first, last = starts[: len(found) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
     set_bits, n, step = np.zeros(64, np.int64), len(first), 1 << 14
     for k in range(0, n, step):  # so that a very long text takes little memory
         part = np.fromiter((digest(whole[a:b], seed) for a, b in zip(first[k : k + step], last[k : k + step])), np.uint64, min(step, n - k))
@@ -168,11 +168,12 @@ def index_links(v: np.ndarray, fixed: int, limit: int = LIMIT, chunk: int = 20_0
 
 
 def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
-    """Links (seed, a, b) between distinct fingerprints (seed, fp) of one seed, each once, that connect all that differ in at most LIMIT bits."""
+    """Links (a, b) between the nodes of distinct fingerprints (seed, fp, node) of one seed, that connect all that differ in at most LIMIT bits."""
     parts, key = blocks(64, LIMIT + 1), ["seed", "turn", "value"]
-    dealt = fps.select("seed", "fp", F.explode(F.array(*[
+    kind = fps.schema["node"].dataType.simpleString()
+    dealt = fps.select("seed", "fp", "node", F.explode(F.array(*[
         F.struct(F.lit(k).alias("turn"), F.lit(-1).alias("again"), F.shiftrightunsigned(F.shiftleft("fp", at), 64 - width).alias("value"), F.lit(0).cast("long").alias("second"))
-        for k, (at, width) in enumerate(parts)])).alias("k")).select("seed", "fp", "k.*")
+        for k, (at, width) in enumerate(parts)])).alias("k")).select("seed", "fp", "node", "k.*")
     full = cut(dealt.groupBy(*key).count().where(F.col("count") > cap).select(*key))
     if not full.isEmpty():
         flagged = dealt.join(small(full.withColumn("_full", F.lit(True)), BROADCAST_ROWS), key, "left")
@@ -183,7 +184,7 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
             for r, (at2, width2) in enumerate(blocks(64 - width, LIMIT + 1)):
                 start = (at + width + at2) % 64  # where the part starts, counted from the top and around
                 turned = F.col("fp") if start == 0 else F.shiftleft("fp", start).bitwiseOR(F.shiftrightunsigned("fp", 64 - start))
-                again.append(hot.where(F.col("turn") == k).select("seed", "fp", "turn", F.lit(r).alias("again"), "value", F.shiftrightunsigned(turned, 64 - width2).alias("second")))
+                again.append(hot.where(F.col("turn") == k).select("seed", "fp", "node", "turn", F.lit(r).alias("again"), "value", F.shiftrightunsigned(turned, 64 - width2).alias("second")))
         dealt = rest
         for part in again:
             dealt = dealt.unionByName(part)
@@ -196,10 +197,10 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
         fp = table.column("fp").to_numpy().view(np.uint64)
         group = np.column_stack([table.column(c).to_numpy() for c in ("seed", "turn", "again")])
         order = np.lexsort(group.T)
-        group, fp = group[order], fp[order]
+        group, fp, node = group[order], fp[order], table.column("node").combine_chunks().take(pa.array(order))
         edge = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]).any(1)]))
         for at, end in zip(edge, np.append(edge[1:], len(fp))):
-            seed, k, r = group[at].tolist()
+            _, k, r = group[at].tolist()
             own, (offset, width) = fp[at:end], parts[k]
             v = rotate(own, offset)
             if r >= 0:
@@ -208,17 +209,17 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
             to = index_links(v, width)
             linked = np.flatnonzero(to != np.arange(len(own)))
             if len(linked):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(linked), seed, np.int32)), pa.array(own[linked].view(np.int64)), pa.array(own[to[linked]].view(np.int64))], names=["seed", "a", "b"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(linked + at)), node.take(pa.array(to[linked] + at))], names=["a", "b"])
 
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *key, "again", "second").select("seed", "fp", "turn", "again").mapInArrow(run, "seed int, a bigint, b bigint")
+    return dealt.repartition(n, *key, "again", "second").select("seed", "fp", "node", "turn", "again").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row per document: ``id_col``, fp and component_id, the smallest id that links reach."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    roots = connected(links(nodes.select(F.lit(0).alias("seed"), "fp")), "a", "b")
+    roots = connected(links(nodes.select(F.lit(0).alias("seed"), "fp", F.col("fp").alias("node"))), "a", "b")
     linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root").unionByName(
         nodes.join(roots.select("root").distinct(), nodes.fp == F.col("root")).select("fp", "least", "root")))
     least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join with a large component can be split
@@ -227,9 +228,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' words, as fingerprints know words, in one array, and the text of each."""
+    packed = pack([(t or "").encode("utf-8", "replace").translate(_LOWER) for t in texts])
+    first, _, hashed = words(packed, _APART)
+    return hashed, np.searchsorted(packed.start, first, "right") - 1
+
+
 def word_fingerprints(texts: list[str | None], seeds: int) -> np.ndarray:
     """(texts, seeds) fingerprints of successive pairs of words (of the word, if there is one only), for each seed apart."""
-    hashed, owner = tokens(texts)
+    hashed, owner = word_hashes(texts)
     n = np.bincount(owner, minlength=len(texts)) if len(owner) else np.zeros(len(texts), np.int64)
     pair = mix(hashed[:-1] * np.uint64(3) + hashed[1:]) if len(hashed) else hashed
     inside = np.concatenate([owner[1:] == owner[:-1], [False]]) if len(owner) else np.zeros(0, bool)
@@ -249,7 +257,7 @@ def word_fingerprints(texts: list[str | None], seeds: int) -> np.ndarray:
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """Sorted 32-bit hashes of the text's shingles (fewer words: of all of them), each once."""
-    hashed, _ = tokens([text])
+    hashed, _ = word_hashes([text])
     if not len(hashed):
         return np.zeros(0, np.uint32)
     width = min(shingle, len(hashed))
@@ -267,7 +275,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: int = COPY_SEEDS, leaders: int = 16) -> DataFrame:
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: int = COPY_SEEDS, leaders: int = 32) -> DataFrame:
     """Ids of documents that have ``similarity`` with a document that stays (Jaccard, of ``shingle`` words).
 
     Candidates are components of documents that any of ``seeds`` fingerprints of word pairs puts within LIMIT bits. In each component the smallest ids lead,
@@ -285,9 +293,7 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = cut(source.mapInArrow(prints, f"`{id_col}` {kind}, seed int, fp bigint"))
     # A document is tied to the least one with its fingerprint of a seed, and these to each other by the links of their fingerprints.
     least = cut(marked.groupBy("seed", "fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
-    a, b = (least.select("seed", F.col("fp").alias(c), F.col("least").alias(f"{c}_id")) for c in ("a", "b"))
-    edges = links(least.select("seed", "fp")).join(a, ["seed", "a"]).join(b, ["seed", "b"]).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    edges = edges.union(marked.join(least.where("n > 1"), ["seed", "fp"]).select(F.col(id_col), "least").where(F.col(id_col) != F.col("least")))
+    edges = links(least.select("seed", "fp", F.col("least").alias("node"))).union(marked.join(least.where("n > 1"), ["seed", "fp"]).select(F.col(id_col), "least").where(F.col(id_col) != F.col("least")))
     roots = connected(edges.distinct(), "a", "b")
     group = cut(roots.select(F.col("node").alias(id_col), "root").union(roots.select("root", "root").distinct()))
 
@@ -321,7 +327,8 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     while not left.isEmpty():
         first = left.select("root", "id", "held").withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("_n") <= leaders).drop("_n")
         led = cut(first.groupBy("root").applyInPandas(lead, f"root {kind}, stay binary, ends binary, out array<{kind}>, last {kind}"))
-        rest = left.join(led.select("root", "stay", "ends", "last"), "root").where(F.col("id") > F.col("last"))
+        # leaders' sets are too large to send to all tasks
+        rest = left.join(led.select("root", "stay", "ends", "last").hint("merge"), "root").where(F.col("id") > F.col("last"))
         judged = cut(rest.select("id", "root", "held", "stay", "ends").mapInArrow(follow, f"id {kind}, root {kind}, held binary, like boolean"))
         now = led.select(F.explode("out").alias(id_col)).union(judged.where("like").select("id"))
         gone = now if gone is None else gone.union(now)
@@ -333,7 +340,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     """``docs`` with one row of each group of near duplicates, all columns.
 
     First the documents of a component of fingerprints give way to the one with the component's id; then, unless ``similarity`` is None, ``similar_copies`` of
-    what is left do. Ids are taken to be distinct; rows without an id stay. The dropped ids are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
+    what is left do. Ids are taken to be distinct; rows without an id stay. ``docs`` is read several times, so it has to give the same rows each time, as a
+    stored table does. The dropped ids are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
     """
     found = near_duplicates(docs, id_col, text_col, shingle)
     gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
