@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgauge.llm import bpe, chat, decontamination, exact_dedup, language_id, quality, secret_scan, sharding, simhash, surrogates
-from tabgauge.llm.common import read
+from tabgauge.llm.common import cut, read
 
 #: For these queries; a run over real data passes a secret of its own.
 SURROGATE_KEY = b"key of the test queries"
@@ -21,7 +21,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema))
-    found = chat.conversations(chat.chains(rows))
+    found = chat.conversations(cut(chat.chains(rows)))  # numbered once
     read_back, unescape = chat.read_back, chat.unescape
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
