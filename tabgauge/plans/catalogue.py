@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from math import inf
 from statistics import NormalDist
@@ -19,6 +20,8 @@ from tabgauge.operators.metrics import (
     Bhattacharyya, CramersV, EarthMovers, EarthMoversBinned, Hellinger, HistogramMetric, JensenShannon, KendallTau, KolmogorovSmirnov, KullbackLeibler, Mean, Norm, StandardDeviation, TotalVariation)
 from tabgauge.operators.tables import CorrMatrix, DiffCorrMatrix, OneColumnMap, TwoColumnMap, compare_all, summary_mean, summary_most
 from tabgauge.plans import oracles as o
+from tabgauge.session import shared_folder
+from tabgauge.sources.store import ResultStore
 from tabgauge.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -560,14 +563,8 @@ def _(spark, sf):
 
 
 def _stored(spark: SparkSession, sf: str):
-    """A store of the results of a map; its folder is in the session's checkpoint folder, or local where there is none."""
-    import tempfile
-    import uuid
-
-    from tabgauge.sources.store import ResultStore
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    store = ResultStore(spark, f"{shared}/store-{uuid.uuid4().hex}", version="1")
+    """A store of three results in the shared folder."""
+    store = ResultStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", version="1")
     held = read_table(spark, sf, "part")
     with Metric.kept_in(store):
         Mean()(column(held, "p_retailprice"), dataset="part")
