@@ -39,6 +39,8 @@ CAP = 50_000
 FAN = 8
 #: Of near copies that a filter drops beside equal components: words of a shingle, least Jaccard similarity, and fingerprints to find candidates by.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, 6
+#: Of one component at a time: documents that lead, bytes of their sets (one at least), and other members that one task compares with them. Cells of a table of flags.
+LEADERS, LEADER_BYTES, FOLLOWERS, TABLE = 1024, 16 << 20, 2000, 1 << 25
 _APART = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -275,11 +277,39 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: int = COPY_SEEDS, leaders: int = 32) -> DataFrame:
+class Sets:
+    """Sets that stay, and whether another one is like any of them; a table of flags where it is small, else one comparison after the other."""
+
+    def __init__(self, all_sets: list[np.ndarray], most: int, similarity: float):
+        self.similarity, self.held = similarity, []
+        self.words = np.unique(np.concatenate(all_sets)) if all_sets else np.zeros(0, np.uint32)
+        self.flags = np.zeros((most, len(self.words)), bool) if most * len(self.words) <= TABLE else None
+        self.sizes = np.zeros(most)
+
+    def like_any(self, x: np.ndarray) -> bool:
+        if self.flags is None:
+            return any(alike(x, y, self.similarity) for y in self.held)
+        n = len(self.held)
+        if not n or not len(x):
+            return False
+        at = np.searchsorted(self.words, x)
+        at = at[self.words[np.minimum(at, len(self.words) - 1)] == x] if len(self.words) else at[:0]
+        both = self.flags[:n, at].sum(1)
+        return bool((both >= self.similarity * (self.sizes[:n] + len(x) - both)).any())
+
+    def add(self, x: np.ndarray) -> None:
+        if self.flags is not None:
+            self.flags[len(self.held), np.searchsorted(self.words, x)] = True
+            self.sizes[len(self.held)] = len(x)
+        self.held.append(x)
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: int = COPY_SEEDS,
+                   leaders: int = LEADERS, followers: int = FOLLOWERS) -> DataFrame:
     """Ids of documents that have ``similarity`` with a document that stays (Jaccard, of ``shingle`` words).
 
     Candidates are components of documents that any of ``seeds`` fingerprints of word pairs puts within LIMIT bits. In each component the smallest ids lead,
-    ``leaders`` at a time: one that is like an earlier leader goes, and so does every other member that is like a leader that stays; those that are left are next. So no
+    up to ``leaders`` at a time: one that is like an earlier leader goes, and so does every other member that is like a leader that stays; those that are left are next. So no
     two documents of a component that both stay are alike, and none goes that isn't like one that stays. Ids are taken to be distinct; rows without one stay.
     """
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,33 +336,45 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = None
 
     def lead(frame: pd.DataFrame) -> pd.DataFrame:
-        stay, out = [], []
-        for i, held in frame.sort_values("id")[["id", "held"]].itertuples(index=False):
-            x = np.frombuffer(held, np.uint32)
-            if any(alike(x, y, similarity) for y in stay):
+        frame = frame.sort_values("id")
+        every = [np.frombuffer(x, np.uint32) for x in frame["held"]]
+        stay, out = Sets(every, len(every), similarity), []
+        for i, x in zip(frame["id"], every):
+            if stay.like_any(x):
                 out.append(i)
             else:
-                stay.append(x)
-        ends = np.cumsum([len(x) for x in stay])
-        return pd.DataFrame({"root": [frame["root"].iloc[0]], "stay": [np.concatenate(stay).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "out": [out], "last": [frame["id"].max()]})
-
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            like = []
-            for held, stay, ends in zip(*(batch.column(c) for c in ("held", "stay", "ends"))):
-                x, every, at = np.frombuffer(held.as_py(), np.uint32), np.frombuffer(stay.as_py(), np.uint32), np.frombuffer(ends.as_py(), np.int64)
-                like.append(any(alike(x, y, similarity) for y in np.split(every, at[:-1])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "root", "held")), pa.array(like)], names=["id", "root", "held", "like"])
-
+                stay.add(x)
+        ends = np.cumsum([len(x) for x in stay.held])
+        return pd.DataFrame({"root": [frame["root"].iloc[0]], "stay": [np.concatenate(stay.held).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "out": [out], "last": [frame["id"].max()]})
+
+    def follow(members: pa.Table, led: pa.Table) -> pa.Table:
+        ends = np.frombuffer(led.column("ends")[0].as_py(), np.int64)
+        held = np.split(np.frombuffer(led.column("stay")[0].as_py(), np.uint32), ends[:-1])
+        stay = Sets(held, len(held), similarity)
+        for x in held:
+            stay.add(x)
+        like = [stay.like_any(np.frombuffer(x.as_py(), np.uint32)) for x in members.column("held")]
+        return members.select(["id", "root", "held"]).append_column("like", pa.array(like, pa.bool_()))
+
+    order = Window.partitionBy("root").orderBy("id")
     while not left.isEmpty():
-        first = left.select("root", "id", "held").withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("id"))).where(F.col("_n") <= leaders).drop("_n")
+        first = left.select("root", "id", "held").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= leaders)
+        first = first.withColumn("_bytes", F.sum(F.octet_length("held")).over(order)).where((F.col("_n") == 1) | (F.col("_bytes") <= LEADER_BYTES)).drop("_n", "_bytes")
         led = cut(first.groupBy("root").applyInPandas(lead, f"root {kind}, stay binary, ends binary, out array<{kind}>, last {kind}"))
-        # leaders' sets are too large to send to all tasks
-        rest = left.join(led.select("root", "stay", "ends", "last").hint("merge"), "root").where(F.col("id") > F.col("last"))
-        judged = cut(rest.select("id", "root", "held", "stay", "ends").mapInArrow(follow, f"id {kind}, root {kind}, held binary, like boolean"))
-        now = led.select(F.explode("out").alias(id_col)).union(judged.where("like").select("id"))
+        now = led.select(F.explode("out").alias(id_col))
+        # members beyond the leaders, in parts that a task can hold, each part with its leaders
+        rest = left.join(led.select("root", "last").hint("merge"), "root").where(F.col("id") > F.col("last")).drop("last")
+        sizes = cut(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / followers).cast("int").alias("parts")))
+        if not sizes.isEmpty():
+            members = rest.join(sizes.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+            copies = led.select("root", "stay", "ends").join(sizes.hint("merge"), "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            judged = cut(members.groupBy("root", "part").cogroup(copies.groupBy("root", "part")).applyInArrow(
+                lambda m, c: follow(m, c) if m.num_rows else m.select(["id", "root", "held"]).append_column("like", pa.array([], pa.bool_())), f"id {kind}, root {kind}, held binary, like boolean"))
+            now = now.union(judged.where("like").select("id"))
+            left = judged.where("NOT like").drop("like")
+        else:
+            left = left.limit(0)
         gone = now if gone is None else gone.union(now)
-        left = cut(judged.where("NOT like").drop("like"))
     return gone if gone is not None else source.select(id_col).limit(0)
 
 

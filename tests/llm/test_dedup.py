@@ -131,8 +131,8 @@ def jaccard(a, b):
     return len(x & y) / len(x | y) if x and y else 0.0
 
 
-@pytest.mark.parametrize("leaders", [16, 1])
-def test_similar_copies(spark, leaders):
+@pytest.mark.parametrize("leaders, followers", [(1024, 2000), (3, 2)])
+def test_similar_copies(spark, leaders, followers):
     rng, rows = random.Random(9), [(None, "kept as it has no id"), (None, "kept as it has no id"), (1, None), (2, ""), (3, "one"), (4, "One"), (5, "one two"), (6, words(60_000, 4)), (7, words(60_000, 4) + " more")]
     for g in range(8):
         base = words(200, 900 + g).split()
@@ -141,7 +141,7 @@ def test_similar_copies(spark, leaders):
             for _ in range(k % 6):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
             rows.append((100 * g + 10 + k, " ".join(w)))
-    gone = {r[0] for r in simhash.similar_copies(docs(spark, rows), leaders=leaders).collect()}
+    gone = {r[0] for r in simhash.similar_copies(docs(spark, rows), leaders=leaders, followers=followers).collect()}
     stay = [(i, t) for i, t in rows if i is not None and i not in gone]
     by_id = {i: t for i, t in rows if i is not None}
     assert {4, 7} <= gone and not gone & {1, 2, 5, None}
@@ -151,7 +151,7 @@ def test_similar_copies(spark, leaders):
         assert all(jaccard(t, u) < 0.8 for _, u in stay[k + 1 :])
     left = simhash.keep_one(docs(spark, rows))
     assert left.where("doc_id IS NULL").count() == 2 and left.columns == docs(spark, rows).columns
-    assert simhash.similar_copies(docs(spark, []), leaders=leaders).collect() == []
+    assert simhash.similar_copies(docs(spark, [])).collect() == []
 
 
 def test_word_fingerprints_do_not_depend_on_neighbours():
