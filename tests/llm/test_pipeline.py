@@ -61,13 +61,12 @@ def test_each_stage_against_plain_python(spark, stages, tmp_path):
             stay = [min(g) for g in groups.values()]
             assert left <= {i for i, _ in stay}
             for i, t in stay:
-                alike = [j for j, u in stay if j in left and j != i and jaccard(t, u) >= 0.8]
-                assert i in left or alike
+                assert i in left or any(j in left and jaccard(t, u) >= 0.8 for j, u in stay)
         else:
             assert left == plain(name, rows), name
     made = {r.doc_id: r for r in module.STAGES[-1][1](spark, docs, SF).collect()}
     for r in docs.collect():
-        data = b"".join({i: t for t, i in RANKS.items()}[x] for x in made[r.doc_id].ids)
+        data = b"".join(map(BYTES.__getitem__, made[r.doc_id].ids))
         assert data.decode() == r.text and made[r.doc_id].decoded_sha256 == hashlib.sha256(data).hexdigest() and made[r.doc_id].n_tokens == len(made[r.doc_id].ids)
     whole = {r.doc_id: list(r.ids) for r in module.run(spark, SF).collect()}
     assert whole == {i: list(r.ids) for i, r in made.items()}
@@ -75,6 +74,7 @@ def test_each_stage_against_plain_python(spark, stages, tmp_path):
 
 
 RANKS = bpe.load_ranks(__import__("public_tokenizers").path("byte_bpe_50k.tiktoken"))
+BYTES = {i: token for token, i in RANKS.items()}
 
 
 def test_stages_take_odd_rows(spark, stages):
