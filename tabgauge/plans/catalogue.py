@@ -328,6 +328,17 @@ def _(spark, sf):
     return rounded(KendallTau()(column(held, "o_orderpriority"), column(held, "o_totalprice")))
 
 
+# kendall_tau_dates and kendall_tau_categories take some of the rows, as their SQL does; these take all
+
+query("kendall_tau_dates_whole", o.result("kendall_tau_correlation", "ts", "value", o.kendall("(SELECT epoch_us(ts) AS ts, value FROM events)", "ts", "value"), source="(SELECT 1)"))(_pair(KendallTau(), "events", "ts", "value"))
+
+
+@query("kendall_tau_categories_whole", o.result("kendall_tau_correlation", "o_orderpriority", "o_totalprice", o.kendall(f"(SELECT {_ORDER} AS a, o_totalprice FROM orders)", "a", "o_totalprice"), source="(SELECT 1)"))
+def _(spark, sf):
+    held = categorical(read_table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ordered=True)
+    return rounded(KendallTau()(column(held, "o_orderpriority"), column(held, "o_totalprice")))
+
+
 # whole tables
 
 NUMBERS = ("l_extendedprice", "l_quantity", "l_partkey")
@@ -387,6 +398,9 @@ _EVENTS = "(SELECT event_id, user_id, value FROM events WHERE event_id % 4 = 0)"
 query("corr_matrix_kendall", o.matrix_rows(EVENT, {(a, b): o.kendall(_EVENTS, a, b) for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value"))}))(
     lambda spark, sf: matrix_cells(CorrMatrix(KendallTau())(read_table(spark, sf, "events").where("event_id % 4 = 0").select(*EVENT))))
 
+query("corr_matrix_kendall_whole", o.matrix_rows(EVENT, {(a, b): o.kendall("events", a, b) for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value"))}))(
+    lambda spark, sf: matrix_cells(CorrMatrix(KendallTau())(read_table(spark, sf, "events").select(*EVENT))))
+
 
 def matrix_difference(spark, sf) -> DataFrame:
     held = read_table(spark, sf, "lineitem").select(*LINE[:2], "l_linestatus", "l_returnflag")

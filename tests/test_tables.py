@@ -243,3 +243,27 @@ def test_query_against_sql(spark, name):
     if name == "earth_movers_distance_guard":
         pytest.skip("too few orders at this size")
     assert same_rows(catalogue.queries()[name](spark, SF), got.fetchall(), got.columns)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test data")
+def test_kendall_of_all_rows(spark):
+    import duckdb
+    import numpy as np
+
+    from tabgauge.plans import catalogue
+
+    def brute(x, y):
+        x, y = np.array(x, float), np.array(y, float)
+        dx, dy = (np.sign(np.subtract.outer(v, v)) for v in (x, y))
+        return (dx * dy).sum() / np.sqrt(float((dx != 0).sum()) * float((dy != 0).sum()))
+
+    def columns(table, *exprs):
+        kept = " AND ".join(f"({e}) IS NOT NULL" for e in exprs)
+        return zip(*duckdb.sql(f"SELECT {', '.join(exprs)} FROM '{SF}/{table}.parquet' WHERE {kept}").fetchall())
+
+    made = catalogue.queries()
+    assert made["kendall_tau_dates_whole"](spark, SF).first().value == pytest.approx(brute(*columns("events", "epoch_us(ts)", "value")), abs=1e-7)
+    assert made["kendall_tau_categories_whole"](spark, SF).first().value == pytest.approx(brute(*columns("orders", "substr(o_orderpriority, 1, 1)::int", "o_totalprice")), abs=1e-7)
+    cells = {(r.column_a, r.column_b): r.value for r in made["corr_matrix_kendall_whole"](spark, SF).collect()}
+    for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value")):
+        assert cells[a, b] == pytest.approx(brute(*columns("events", a, b)), abs=2e-5)
