@@ -516,6 +516,32 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+# cross_tables, plot_categorical and plot_kde take some of the rows, as their SQL does; these take all
+
+@query("cross_tables_whole", """WITH t AS (SELECT p_type AS a, p_name AS b, p_partkey % 2 AS side FROM part)
+    SELECT x.a, y.b, count(t.side) FILTER (t.side = 0) AS n_test, count(t.side) FILTER (t.side = 1) AS n_synth
+    FROM (SELECT DISTINCT a FROM t) x CROSS JOIN (SELECT DISTINCT b FROM t) y LEFT JOIN t ON t.a = x.a AND t.b = y.b GROUP BY ALL""")
+def _(spark, sf):
+    held = read_table(spark, sf, "part")
+    return plotdata.cross_tables(held.where("p_partkey % 2 = 0"), held.where("p_partkey % 2 = 1"), "p_type", "p_name")
+
+
+@query("plot_categorical_whole", "SELECT CASE side WHEN 0 THEN 'orig' ELSE 'synth' END AS dataset, v AS value, substr(v, 1, 25) AS label, count(*) AS n FROM (SELECT l_linenumber % 2 AS side, l_returnflag AS v FROM lineitem WHERE l_linenumber IN (1, 2)) GROUP BY ALL")
+def _(spark, sf):
+    held = read_table(spark, sf, "lineitem")
+    part = lambda k: column(held.where(F.col("l_linenumber") == k).select("l_returnflag"), "l_returnflag")
+    parts = [plotdata.categorical_counts([part(k)], None, [name]) for k, name in ((2, "orig"), (1, "synth"))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("plot_kde_whole", """WITH s AS (SELECT value AS v FROM events), t AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM s),
+    g AS (SELECT n, h, lo - 3 * h + k * ((hi - lo + 6 * h) / 199) AS x FROM t, (SELECT unnest(range(0, 200)) AS k))
+    SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density FROM g, s GROUP BY x""")
+def _(spark, sf):
+    held = read_table(spark, sf, "events").select("value")
+    return plotdata.continuous_column(column(held, "value")).select(F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
 @query("plot_categorical_sampled")
 def _(spark, sf):
     return plotdata.categorical_counts(priority_pair(spark, sf), 1_000)

@@ -267,3 +267,27 @@ def test_kendall_of_all_rows(spark):
     cells = {(r.column_a, r.column_b): r.value for r in made["corr_matrix_kendall_whole"](spark, SF).collect()}
     for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value")):
         assert cells[a, b] == pytest.approx(brute(*columns("events", a, b)), abs=2e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test data")
+def test_plot_data_of_all_rows(spark):
+    from collections import Counter
+
+    import duckdb
+    import numpy as np
+
+    from tabgauge.plans import catalogue
+
+    rows = lambda sql, table: duckdb.sql(f"SELECT {sql} FROM '{SF}/{table}.parquet'").fetchall()
+    made = catalogue.queries()
+    part = rows("p_type, p_name, p_partkey % 2", "part")
+    counts, found = Counter(part), made["cross_tables_whole"](spark, SF).collect()
+    assert {(r.a, r.b, r.n_test, r.n_synth) for r in found} == {(a, b, counts[a, b, 0], counts[a, b, 1]) for a in {p[0] for p in part} for b in {p[1] for p in part}}
+    lines = Counter((("orig", "synth")[k % 2], f) for k, f in rows("l_linenumber, l_returnflag", "lineitem") if k in (1, 2))
+    assert {(r.dataset, r.value): r.n for r in made["plot_categorical_whole"](spark, SF).collect()} == lines
+    v = np.array([x for (x,) in rows("value", "events")])
+    h = v.std(ddof=1) * len(v) ** -0.2
+    grid = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 200)
+    want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
+    found = sorted((r.x, r.density) for r in made["plot_kde_whole"](spark, SF).collect())
+    assert np.allclose(found, np.column_stack([grid, want]), atol=2e-6)
