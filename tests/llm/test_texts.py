@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -201,6 +202,26 @@ def test_overlaps(spark):
     assert not {400 + k for k in range(12)} & {d for d, _ in want}
 
 
+def test_parts_of_items_with_substitutions(spark):
+    rng = random.Random(8)
+    items = [(k, words(60, 1100 + k)) for k in range(4)]
+    places = [(n, x) for n, m in ((13, 2),) for x in itertools.combinations(range(1, n - 1), m)] + [(15, (3, 7, 11)), (40, tuple(range(4, 40, 5)))]
+    places += [(n, tuple(rng.sample(range(1, n - 1), n // 5))) for n in (15, 18, 20, 25, 33) for _ in range(12)]
+    rows = []
+    for k, (n, put) in enumerate(places):
+        at = rng.randint(1, 59 - n)
+        part = items[k % 4][1].split()[at : at + n]
+        for i in put:
+            part[i] = "subst"
+        rows.append((k, words(20, 2000 + k) + " " + " ".join(part) + " " + words(20, 3000 + k)))
+        rows.append((1000 + k, words(20, 4000 + k) + " " + " ".join(part[:12]) + " " + words(20, 5000 + k)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.find(docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute_overlaps(rows, items) >= {(k, k % 4) for k in range(len(places))}
+    assert all(r.n_tokens >= 13 and r.n_equal >= 0.8 * r.n_tokens for r in found)
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs(spark, rows), bench).collect()} == {i for i, _ in rows} - {r.doc_id for r in found}
+
+
 def test_overlaps_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find(docs(spark, ODD), bench).collect() == []
