@@ -37,8 +37,9 @@ SEED = 42
 LIMIT = 4
 CAP = 50_000
 FAN = 8
-#: Of near copies that a filter drops beside equal components: words of a shingle, least Jaccard similarity, and fingerprints to find candidates by.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_SEEDS = 5, 0.8, 6
+#: Of near copies that a filter drops beside equal components: words of a shingle, least Jaccard similarity, and bands to find candidates by, each of some least hashes.
+#: Two sets of similarity J agree on no band with probability (1 - J**4)**32, whatever the edit: 5e-8 at 0.8.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_LEAST = 5, 0.8, 32, 4
 #: Of one component at a time: documents that lead, bytes of their sets (one at least), and other members that one task compares with them. Cells of a table of flags.
 LEADERS, LEADER_BYTES, FOLLOWERS, TABLE = 1024, 16 << 20, 2000, 1 << 25
 _APART = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -269,6 +270,37 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
+def least_hashes(texts: list[str | None], shingle: int, bands: int, least: int) -> np.ndarray:
+    """(texts, bands) keys, each of the least of the text's shingles (as in ``shingle_set``) in ``least`` random orders; 0 for texts without words."""
+    hashed, owner = word_hashes(texts)
+    out = np.zeros((len(texts), bands), np.uint64)
+    if not len(hashed):
+        return out
+    n = np.bincount(owner, minlength=len(texts))
+    held, own = [], []
+    for width in range(1, shingle + 1):  # fewer words than a shingle's make one of all
+        inside = np.flatnonzero((n[owner] == width) if width < shingle else (n[owner] >= width))
+        inside = inside[inside <= len(hashed) - width]
+        inside = inside[owner[inside] == owner[inside + width - 1]]
+        h = np.zeros(len(inside), np.uint64)
+        for i in range(width):
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + hashed[inside + i])
+        held.append(h)
+        own.append(owner[inside])
+    h, of = np.concatenate(held), np.concatenate(own)
+    if len(held[-1]) < len(h):
+        order = np.argsort(of, kind="stable")
+        h, of = h[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    keys = mix(np.arange(1, 2 * bands * least + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(bands, least, 2)
+    for k in range(bands):
+        key = np.full(len(first), k + 1, np.uint64)
+        for flip, times in keys[k]:
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((h ^ flip) * (times | np.uint64(1)), first))
+        out[of[first], k] = np.maximum(key, np.uint64(1))
+    return out
+
+
 def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sets' Jaccard similarity is at least ``similarity``; empty sets are like nothing."""
     if not len(a) or not len(b) or min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -304,26 +336,26 @@ class Sets:
         self.held.append(x)
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, seeds: int = COPY_SEEDS,
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, bands: int = COPY_BANDS,
                    leaders: int = LEADERS, followers: int = FOLLOWERS) -> DataFrame:
     """Ids of documents that have ``similarity`` with a document that stays (Jaccard, of ``shingle`` words).
 
-    Candidates are components of documents that any of ``seeds`` fingerprints of word pairs puts within LIMIT bits. In each component the smallest ids lead,
+    Candidates are components of documents that share any of ``bands`` keys of least shingle hashes. In each component the smallest ids lead,
     up to ``leaders`` at a time: one that is like an earlier leader goes, and so does every other member that is like a leader that stays; those that are left are next. So no
     two documents of a component that both stay are alike, and none goes that isn't like one that stays. Ids are taken to be distinct; rows without one stay.
     """
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text_col, 1 << 18):
-            fp = word_fingerprints(batch.column(1).to_pylist(), seeds)
-            row, seed = np.nonzero(fp)  # texts without words have 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(seed.astype(np.int32)), pa.array(fp[row, seed].view(np.int64))], names=[id_col, "seed", "fp"])
+            found = least_hashes(batch.column(1).to_pylist(), shingle, bands, COPY_LEAST)
+            row, band = np.nonzero(found)  # texts without words have 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(found[row, band].view(np.int64))], names=[id_col, "key"])
 
     source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
     kind = source.schema[0].dataType.simpleString()
-    marked = cut(source.mapInArrow(prints, f"`{id_col}` {kind}, seed int, fp bigint"))
-    # A document is tied to the least one with its fingerprint of a seed, and these to each other by the links of their fingerprints.
-    least = cut(marked.groupBy("seed", "fp").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")))
-    edges = links(least.select("seed", "fp", F.col("least").alias("node"))).union(marked.join(least.where("n > 1"), ["seed", "fp"]).select(F.col(id_col), "least").where(F.col(id_col) != F.col("least")))
+    marked = cut(source.mapInArrow(keys, f"`{id_col}` {kind}, key bigint"))
+    # A document is tied to the least one with its key of a band.
+    least = cut(marked.groupBy("key").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    edges = marked.join(least, "key").select(F.col(id_col).alias("a"), F.col("least").alias("b")).where("a != b")
     roots = connected(edges.distinct(), "a", "b")
     group = cut(roots.select(F.col("node").alias(id_col), "root").union(roots.select("root", "root").distinct()))
 

@@ -154,6 +154,38 @@ def test_similar_copies(spark, leaders, followers):
     assert simhash.similar_copies(docs(spark, [])).collect() == []
 
 
+def test_similar_copies_by_kind_of_edit(spark):
+    rng, rows, pairs = random.Random(10), [], {}
+    for n in (100, 400, 1500):
+        for k in range(16):
+            for kind in ("scattered", "appended", "replaced"):
+                i = 2 * len(pairs) + 1
+                w = words(n, 10_000 + i).split()
+                new, share = words(n, 20_000 + i).split(), rng.uniform(0.82, 0.9)
+                if kind == "scattered":
+                    v = list(w)
+                    for at in rng.sample(range(n), max(1, int(n * (1 - share) / 9))):
+                        v[at] = "changed"
+                elif kind == "appended":
+                    v = w + new[: int(n * (1 / share - 1))]
+                else:
+                    size = int(n * (1 - share) / (1 + share)) - 4
+                    at = rng.randrange(n - max(1, size))
+                    v = w[:at] + new[: max(1, size)] + w[at + max(1, size) :]
+                rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+                pairs[i + 1] = (kind, jaccard(rows[-2][1], rows[-1][1]))
+    want = {i for i, (_, j) in pairs.items() if j >= 0.8}
+    assert min(sum(pairs[i][0] == kind for i in want) for kind in ("scattered", "appended", "replaced")) > 30
+    assert {r[0] for r in simhash.similar_copies(docs(spark, rows)).collect()} == want
+
+
+def test_least_hashes_do_not_depend_on_neighbours():
+    texts = ["a b c d e f g", "", None, "one", "x y", "a b c d e f g", "a b c d e"]
+    every = simhash.least_hashes(texts, 5, 6, 4)
+    assert np.array_equal(every, np.concatenate([simhash.least_hashes([t], 5, 6, 4) for t in texts]))
+    assert (every[0] == every[5]).all() and not every[1:3].any() and every[3:].all() and len(np.unique(every[3:])) == 4 * 6
+
+
 def test_word_fingerprints_do_not_depend_on_neighbours():
     texts = ["a b c d", "", None, "one", "x y", "a b c d"]
     every = simhash.word_fingerprints(texts, 3)
