@@ -3,7 +3,8 @@
 The base patterns give spans of kinds ``assign``, ``access`` and ``hex``. Besides, candidate strings (long runs of one
 character class) are scanned with a window whose character counts are updated by one step in and one step out; the
 entropy is kept as a running sum of n*log2(n). Overlapping windows at or above the class's threshold form one span. A
-span that the allow-list matches, that overlaps a base span, or that lacks a digit, is not added. Base spans are never dropped.
+span that the allow-list matches, or that other spans cover already, is not added; one that they cover in part is added whole, so spans may overlap. Base
+spans are never dropped.
 
 Defined cases: a null or empty text has no spans; equal rows are each scanned; other columns are not read; positions are code
 points, end exclusive.
@@ -91,35 +92,38 @@ def window_spans(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
+def covered(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
+    """Whether the union of ``spans`` holds all of [a, b)."""
+    for x, y in sorted(s for s in spans if s[0] < b and a < s[1]):
+        if x > a:
+            return False
+        a = max(a, y)
+    return a >= b
+
+
 class Scanner:
     """All spans of a text: base kinds, then the entropy classes in their order."""
 
     def __init__(self, classes: tuple[EntropyClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW):
         self.classes = [(k, c, re.compile(f"[{c.chars}]{{{c.window},}}")) for k, c in enumerate(classes)]
         self.allow = re.compile("|".join(f"(?:{a})" for a in allow)) if allow else None
-        # A run of any class has a digit or it is no candidate; most texts have none and are done here.
-        self.any_digit = re.compile(r"\d", re.ASCII)
 
     def scan(self, text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
         """Base spans, and all spans by start, then kind."""
         base = base_spans(text)
         extra: list[tuple[int, int, int]] = []
-        if self.any_digit.search(text):
-            taken = [(a, b) for a, b, _ in base]
-            for k, c, runs in self.classes:
-                for m in runs.finditer(text):
-                    run = m[0]
-                    if not self.any_digit.search(run) or self.allow and self.allow.fullmatch(run):
+        taken = [(a, b) for a, b, _ in base]
+        for k, c, runs in self.classes:
+            for m in runs.finditer(text):
+                run = m[0]
+                if self.allow and self.allow.fullmatch(run):
+                    continue
+                for a, b in window_spans(run, c.window, c.bits):
+                    a, b = a + m.start(), b + m.start()
+                    if self.allow and self.allow.fullmatch(text, a, b) or covered(a, b, taken):
                         continue
-                    for a, b in window_spans(run, c.window, c.bits):
-                        a, b = a + m.start(), b + m.start()
-                        piece = text[a:b]
-                        if not self.any_digit.search(piece) or self.allow and self.allow.fullmatch(piece):
-                            continue
-                        if any(a < y and x < b for x, y in taken):
-                            continue
-                        taken.append((a, b))
-                        extra.append((a, b, k))
+                    taken.append((a, b))
+                    extra.append((a, b, k))
         order = {k: i for i, k in enumerate(BASE_KINDS)} | {c.kind: len(BASE_KINDS) + k for k, c, _ in self.classes}
         everything = [*base, *((a, b, self.classes[k][1].kind) for a, b, k in extra)]
         everything.sort(key=lambda x: (x[0], order[x[2]]))
