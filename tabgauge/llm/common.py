@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -61,11 +61,51 @@ def reread(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def tasks_for(df: DataFrame, bytes_each: int = 64 << 20, most: int = 1 << 16) -> int:
+    """Partitions for a shuffle of ``df``: the session's number, or more if the plan's statistics say that a partition would exceed ``bytes_each``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(n, min(most, size // bytes_each)) if size < 1 << 50 else n  # beyond that nothing is known
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a materialised table of fixed-width keys for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def fresh(taken: Iterable[str], *stems: str) -> list[str]:
+    """The stems as column names that differ from all of ``taken``, whatever the case."""
+    held, out = {t.lower() for t in taken}, []
+    for stem in stems:
+        while stem.lower() in held:
+            stem = f"_{stem}"
+        held.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+def text_hash(text_col: str) -> Column:
+    """With the id it tells rows apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that ``gone`` names, all columns.
+
+    ``gone`` is materialised and has distinct rows (id, h, again): id and ``text_hash`` of rows that go; if ``again``, one of them stays. It is broadcast
+    if it has at most ``broadcast_rows`` rows; beyond that ``docs`` is dealt out by id and hash, evenly, and merged with it.
+    """
+    i, h, own = fresh(docs.columns, "_gone_id", "_gone_h", "_own_h")
+    keys = gone.select(F.col("id").alias(i), F.col("h").alias(h), "again")
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (text_hash(text_col) == F.col(h))
+    left = docs.join(small(keys.drop("again"), broadcast_rows), same, "left_anti")
+    twins = keys.where("again").drop("again")
+    if twins.isEmpty():
+        return left
+    back = docs.join(small(twins, broadcast_rows), same, "left_semi").withColumn(own, text_hash(text_col)).dropDuplicates([id_col, own]).drop(own)
+    return left.unionByName(back)
+
+
 def bounded_sample(rows: DataFrame, id_col: str, class_col: str, most: int, seed: int) -> DataFrame:
     """(id, class) of at most ``most`` rows of each class, those whose hashed ids come first; written to the checkpoint folder.
 

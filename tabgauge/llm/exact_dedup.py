@@ -1,15 +1,15 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
 All steps are DataFrame expressions. A text meets the full hash only if another text has
-its length and its prefix hash. Only fixed-width keys are shuffled, never texts (unless more keys
-than ``broadcast_rows`` survive the prefix step, when the surviving texts are joined by a shuffle).
+its length and its prefix hash. Only fixed-width keys are shuffled, never texts. The keys that survive the prefix step meet the texts by a
+broadcast; if they are more than ``broadcast_rows``, the lengths do instead, and if those are more too, every text is hashed in full where it is read.
 
 Defined cases
 -------------
 * a null text equals the empty text; texts are compared as they are, without normalisation;
 * of equal texts the row with the largest id stays; a null id is smaller than any id;
-* rows that repeat both id and text: exactly one of them stays (``kept``), all are returned;
-* an empty table gives an empty result; other columns, whatever their names, are not read.
+* rows that repeat both id and text: exactly one of them stays (``kept``), all are returned; rows of one id with different texts are rows of their own;
+* texts of any length are compared whole, by their SHA-256; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.llm.common import BROADCAST_ROWS, cut, small
+from tabgauge.llm.common import BROADCAST_ROWS, cut, drop_rows, small, text_hash
 
 PREFIX_CHARS = 128
 
@@ -46,13 +46,19 @@ def refine(
         *[e.alias(f"_c{i}") for i, e in enumerate(carry.values())],
     )
     more_than_one = F.col("count") > 1
-    lengths = scan.groupBy("_len").count().where(more_than_one).select("_len")
+    lengths = cut(scan.groupBy("_len").count().where(more_than_one).select("_len"))
     # Counted before the join, so that many copies of one text meet its length as one row.
     prefixes = scan.groupBy("_len", "_prefix").count().join(lengths, "_len", "left_semi").where(more_than_one).select("_len", "_prefix")
     prefixes = cut(prefixes)
-    marked = scan.join(small(prefixes.withColumn("_hit", F.lit(True)), broadcast_rows), ["_len", "_prefix"], "left").select(
+    hit, by = F.lit(True), None
+    for survivors in (prefixes, lengths):  # no text is shuffled: what is too long to be broadcast isn't asked
+        if survivors.limit(broadcast_rows + 1).count() <= broadcast_rows:
+            hit, by = F.col("_hit"), survivors.withColumn("_hit", F.lit(True))
+            break
+    met = scan if by is None else scan.join(F.broadcast(by), [c for c in by.columns if c != "_hit"], "left")  # counted above
+    marked = met.select(
         "_id", "_len", "_prefix",
-        F.when(F.col("_hit"), F.sha2("_text", 256)).alias("_full"),
+        F.when(hit, F.sha2("_text", 256)).alias("_full"),
         F.monotonically_increasing_id().alias("_row"),
         *[f"_c{i}" for i in range(len(carry))],
     )
@@ -76,16 +82,10 @@ def refine(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all its columns kept.
 
-    The dropped rows' (id, text hash) keys are broadcast if there are at most ``broadcast_rows`` of them, else joined by
-    a shuffle. Where a dropped row repeats the id and the text of the row that stays, one of them is put back.
+    Rows are known by id and text hash, a null text as the empty one. Where dropped rows repeat both of the row that stays, one of them all stays.
+    Up to ``broadcast_rows`` dropped rows are broadcast; beyond that ``docs`` is dealt out once by these keys (see ``drop_rows``).
     """
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    found = refine(docs, id_col, text_col, {"_key": key}, broadcast_rows=broadcast_rows)
-    gone = cut(found.where(~F.col("kept")).select(
-        F.col(id_col).alias("_gone_id"), F.col("_key").alias("_gone_key"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("_twin")))
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_key"))
-    left = docs.join(small(gone.drop("_twin").distinct(), broadcast_rows), same, "left_anti")
-    twins = gone.where("_twin").drop("_twin").distinct()
-    if twins.isEmpty():
-        return left
-    return left.unionByName(docs.join(twins, same, "left_semi").dropDuplicates([id_col, text_col]))
+    found = refine(docs, id_col, text_col, {"_key": text_hash(text_col)}, broadcast_rows=broadcast_rows).where(~F.col("kept"))
+    again = F.max(F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("again")
+    gone = cut(found.groupBy(F.col(id_col).alias("id"), F.col("_key").alias("h")).agg(again))
+    return drop_rows(docs, gone, id_col, text_col, broadcast_rows)

@@ -13,22 +13,22 @@ A block value with more than ``CAP`` fingerprints is dealt out again by the 5 pa
 Equal fingerprints are one node. Components of the links are found by star contraction; the fingerprints are never collected.
 
 Defined cases: null and empty texts and texts of white space have fingerprint 0, linked like any other; null ids are the least of reasons to be a component's id (only
-if all its ids are null); repeated rows are each returned; an empty table gives no rows; other columns are not read.
+if all its ids are null); repeated rows are each returned; rows of one id with different texts are rows of their own; very long texts are hashed in chunks, whole;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tabgauge.llm.common import BROADCAST_ROWS, cut, pieces, small
+from tabgauge.llm.common import BROADCAST_ROWS, cut, drop_rows, pieces, small, text_hash
 from tabgauge.llm.components import connected
 from tabgauge.llm.features import mix, pack, words
 
@@ -38,10 +38,12 @@ LIMIT = 4
 CAP = 50_000
 FAN = 8
 #: Of near copies that a filter drops beside equal components: words of a shingle, least Jaccard similarity, and bands to find candidates by, each of some least hashes.
-#: Two sets of similarity J agree on no band with probability (1 - J**4)**32, whatever the edit: 5e-8 at 0.8.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_LEAST = 5, 0.8, 32, 4
-#: Of one component at a time: documents that lead, bytes of their sets (one at least), and other members that one task compares with them. Cells of a table of flags.
-LEADERS, LEADER_BYTES, FOLLOWERS, TABLE = 1024, 16 << 20, 2000, 1 << 25
+#: Two sets of similarity J agree on no band with probability (1 - J**6)**40, whatever the edit: 5e-6 at 0.8. At 0.3 it is 0.97, at 0.08 (a shared passage) 0.99999.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_LEAST = 5, 0.8, 40, 6
+#: Rounds in which a group's least document is compared with all of its group, documents of a group that one task takes at once, and links that one task settles.
+LEADERS, FOLLOWERS, LINKS = 3, 128, 500_000
+#: Rows of the index that one task takes.
+INDEX_ROWS = 250_000
 _APART = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -214,21 +216,37 @@ def links(fps: DataFrame, cap: int = CAP) -> DataFrame:
             if len(linked):
                 yield pa.RecordBatch.from_arrays([node.take(pa.array(linked + at)), node.take(pa.array(to[linked] + at))], names=["a", "b"])
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-fps.count() * len(parts) // INDEX_ROWS))
     return dealt.repartition(n, *key, "again", "second").select("seed", "fp", "node", "turn", "again").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per document: ``id_col``, fp and component_id, the smallest id that links reach."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
+def _components(marked: DataFrame) -> DataFrame:
+    """(fp, least) of the fingerprints of ``marked`` (id, h, fp): the least row (no id, id, h) of each one's component."""
+    row = F.struct(F.col("id").isNull().alias("no"), "id", "h")
+    nodes = cut(marked.groupBy("fp").agg(F.min(row).alias("least")))
     roots = connected(links(nodes.select(F.lit(0).alias("seed"), "fp", F.col("fp").alias("node"))), "a", "b")
     linked = cut(nodes.join(roots, nodes.fp == roots.node).select("fp", "least", "root").unionByName(
         nodes.join(roots.select("root").distinct(), nodes.fp == F.col("root")).select("fp", "least", "root")))
-    least = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that a join with a large component can be split
-    named = linked.join(least, "root").select("fp", "component_id").unionByName(
-        nodes.join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id")))
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    least = cut(linked.groupBy("root").agg(F.min("least").alias("top")))  # written, so that a join with a large component can be split
+    return linked.join(least, "root").select("fp", F.col("top").alias("least")).unionByName(nodes.join(linked.select("fp"), "fp", "left_anti"))
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, h, fp) of every row, written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["id", "h", "fp"])
+
+    source = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    return cut(source.mapInArrow(run, f"id {source.schema[0].dataType.simpleString()}, h bigint, fp bigint"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row per document: ``id_col``, fp and component_id, the smallest id that links reach."""
+    marked = _marked(docs, id_col, text_col, shingle)
+    return marked.join(_components(marked), "fp").select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component_id"))
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -309,118 +327,120 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-class Sets:
-    """Sets that stay, and whether another one is like any of them; a table of flags where it is small, else one comparison after the other."""
-
-    def __init__(self, all_sets: list[np.ndarray], most: int, similarity: float):
-        self.similarity, self.held = similarity, []
-        self.words = np.unique(np.concatenate(all_sets)) if all_sets else np.zeros(0, np.uint32)
-        self.flags = np.zeros((most, len(self.words)), bool) if most * len(self.words) <= TABLE else None
-        self.sizes = np.zeros(most)
-
-    def like_any(self, x: np.ndarray) -> bool:
-        if self.flags is None:
-            return any(alike(x, y, self.similarity) for y in self.held)
-        n = len(self.held)
-        if not n or not len(x):
-            return False
-        at = np.searchsorted(self.words, x)
-        at = at[self.words[np.minimum(at, len(self.words) - 1)] == x] if len(self.words) else at[:0]
-        both = self.flags[:n, at].sum(1)
-        return bool((both >= self.similarity * (self.sizes[:n] + len(x) - both)).any())
-
-    def add(self, x: np.ndarray) -> None:
-        if self.flags is not None:
-            self.flags[len(self.held), np.searchsorted(self.words, x)] = True
-            self.sizes[len(self.held)] = len(x)
-        self.held.append(x)
-
-
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, bands: int = COPY_BANDS,
-                   leaders: int = LEADERS, followers: int = FOLLOWERS) -> DataFrame:
-    """Ids of documents that have ``similarity`` with a document that stays (Jaccard, of ``shingle`` words).
+                   leaders: int = LEADERS, followers: int = FOLLOWERS, most_links: int = LINKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(id, h) of the rows that have ``similarity`` with a smaller row that stays (Jaccard, of ``shingle`` words); h is ``text_hash``.
 
-    Candidates are components of documents that share any of ``bands`` keys of least shingle hashes. In each component the smallest ids lead,
-    up to ``leaders`` at a time: one that is like an earlier leader goes, and so does every other member that is like a leader that stays; those that are left are next. So no
-    two documents of a component that both stay are alike, and none goes that isn't like one that stays. Ids are taken to be distinct; rows without one stay.
+    Candidates are components of rows that share any of ``bands`` keys of least shingle hashes. By increasing (id, h), a row goes if a row that stays is like it: no two rows of a
+    component that both stay are alike, and none goes that isn't like one that stays. That is found in a bounded number of steps: in each of ``leaders`` rounds the least row of each
+    component stays and all that are like it go, in parts of ``followers`` rows; what is then left of a component is compared in tiles of two such parts, and its links are settled
+    in one task if they are at most ``most_links``, else by rounds of joins. No step sorts or holds a component's rows in one task. Rows without an id are left out.
     """
+    source = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
+    kind = source.schema[0].dataType.simpleString()
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col, 1 << 18):
-            found = least_hashes(batch.column(1).to_pylist(), shingle, bands, COPY_LEAST)
+        for batch in pieces(batches, "text", 1 << 18):
+            found = least_hashes(batch.column(2).to_pylist(), shingle, bands, COPY_LEAST)
             row, band = np.nonzero(found)  # texts without words have 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(found[row, band].view(np.int64))], names=[id_col, "key"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row)) for i in (0, 1)), pa.array(found[row, band].view(np.int64))], names=["id", "h", "key"])
 
-    source = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    kind = source.schema[0].dataType.simpleString()
-    marked = cut(source.mapInArrow(keys, f"`{id_col}` {kind}, key bigint"))
-    # A document is tied to the least one with its key of a band.
-    least = cut(marked.groupBy("key").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    edges = marked.join(least, "key").select(F.col(id_col).alias("a"), F.col("least").alias("b")).where("a != b")
-    roots = connected(edges.distinct(), "a", "b")
-    group = cut(roots.select(F.col("node").alias(id_col), "root").union(roots.select("root", "root").distinct()))
+    node = F.struct("id", "h")
+    marked = cut(source.mapInArrow(keys, f"id {kind}, h bigint, key bigint"))
+    # A row is tied to the least one with its key of a band.
+    least = cut(marked.groupBy("key").agg(F.min(node).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    roots = connected(marked.join(least, "key").select(node.alias("a"), "b").where("a != b").distinct(), "a", "b")
+    of = F.xxhash64("root").alias("root")  # roots with one hash are compared as one component
+    group = cut(roots.select("node.*", of).union(roots.select("root").distinct().select("root.*", of)))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["id", "root", "held"])
-
-    left = cut(source.join(small(group), id_col).select(id_col, "root", text_col).mapInArrow(sets, f"id {kind}, root {kind}, held binary"))
-    gone = None
-
-    def lead(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        every = [np.frombuffer(x, np.uint32) for x in frame["held"]]
-        stay, out = Sets(every, len(every), similarity), []
-        for i, x in zip(frame["id"], every):
-            if stay.like_any(x):
-                out.append(i)
-            else:
-                stay.add(x)
-        ends = np.cumsum([len(x) for x in stay.held])
-        return pd.DataFrame({"root": [frame["root"].iloc[0]], "stay": [np.concatenate(stay.held).tobytes()], "ends": [ends.astype(np.int64).tobytes()], "out": [out], "last": [frame["id"].max()]})
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 1, 3)), pa.array(made, pa.binary())], names=["id", "h", "root", "held"])
+
+    held_rows = f"id {kind}, h bigint, root bigint, held binary"
+    left = cut(source.join(small(group, broadcast_rows), ["id", "h"]).select("id", "h", "text", "root").mapInArrow(sets, held_rows))
+    numbers = lambda column: [np.frombuffer(x, np.uint32) for x in column.to_pylist()]
 
     def follow(members: pa.Table, led: pa.Table) -> pa.Table:
-        ends = np.frombuffer(led.column("ends")[0].as_py(), np.int64)
-        held = np.split(np.frombuffer(led.column("stay")[0].as_py(), np.uint32), ends[:-1])
-        stay = Sets(held, len(held), similarity)
-        for x in held:
-            stay.add(x)
-        like = [stay.like_any(np.frombuffer(x.as_py(), np.uint32)) for x in members.column("held")]
-        return members.select(["id", "root", "held"]).append_column("like", pa.array(like, pa.bool_()))
-
-    order = Window.partitionBy("root").orderBy("id")
-    while not left.isEmpty():
-        first = left.select("root", "id", "held").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= leaders)
-        first = first.withColumn("_bytes", F.sum(F.octet_length("held")).over(order)).where((F.col("_n") == 1) | (F.col("_bytes") <= LEADER_BYTES)).drop("_n", "_bytes")
-        led = cut(first.groupBy("root").applyInPandas(lead, f"root {kind}, stay binary, ends binary, out array<{kind}>, last {kind}"))
-        now = led.select(F.explode("out").alias(id_col))
-        # members beyond the leaders, in parts that a task can hold, each part with its leaders
-        rest = left.join(led.select("root", "last").hint("merge"), "root").where(F.col("id") > F.col("last")).drop("last")
-        sizes = cut(rest.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / followers).cast("int").alias("parts")))
-        if not sizes.isEmpty():
-            members = rest.join(sizes.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
-            copies = led.select("root", "stay", "ends").join(sizes.hint("merge"), "root").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-            judged = cut(members.groupBy("root", "part").cogroup(copies.groupBy("root", "part")).applyInArrow(
-                lambda m, c: follow(m, c) if m.num_rows else m.select(["id", "root", "held"]).append_column("like", pa.array([], pa.bool_())), f"id {kind}, root {kind}, held binary, like boolean"))
-            now = now.union(judged.where("like").select("id"))
-            left = judged.where("NOT like").drop("like")
-        else:
-            left = left.limit(0)
-        gone = now if gone is None else gone.union(now)
-    return gone if gone is not None else source.select(id_col).limit(0)
+        out = members.select(["id", "h", "root", "held"])
+        if not members.num_rows:
+            return out.append_column("like", pa.array([], pa.bool_()))
+        top = np.frombuffer(led.column("stay")[0].as_py(), np.uint32)
+        like = pa.array([alike(x, top, similarity) for x in numbers(members.column("held"))], pa.bool_())
+        return out.set_column(3, "held", pa.compute.if_else(like, pa.scalar(b"", pa.binary()), out.column("held"))).append_column("like", like)
+
+    gone = [source.select("id", "h").limit(0)]
+    for _ in range(leaders):
+        if left.isEmpty():
+            break
+        tops = cut(left.groupBy("root").agg(F.min(F.struct("id", "h")).alias("top"), F.ceil(F.count(F.lit(1)) / followers).cast("int").alias("parts")))
+        known = left.join(small(tops, broadcast_rows), "root")
+        copies = known.where(node == F.col("top")).select("root", F.col("held").alias("stay"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).toDF("root", "stay", "part")
+        members = known.where(node != F.col("top")).select("id", "h", "root", "held", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int").alias("part"))
+        judged = cut(members.groupBy("root", "part").cogroup(copies.groupBy("root", "part")).applyInArrow(follow, f"{held_rows}, like boolean"))
+        gone.append(judged.where("like").select("id", "h"))
+        left = judged.where("NOT like").drop("like")
+
+    def tile(rows: pa.Table) -> pa.Table:
+        part, x, y = (rows.column(c).to_pylist() for c in ("part", "x", "y"))
+        nodes, held = list(zip(rows.column("id").to_pylist(), rows.column("h").to_pylist())), numbers(rows.column("held"))
+        upper = [i for i, p in enumerate(part) if p == x[0]]
+        lower = upper if x[0] == y[0] else [i for i, p in enumerate(part) if p == y[0]]
+        found = [(max(nodes[i], nodes[j]), min(nodes[i], nodes[j])) for n, i in enumerate(upper) for j in (upper[n + 1 :] if lower is upper else lower) if alike(held[i], held[j], similarity)]
+        names, ends = ["a", "b"], pa.struct([("id", rows.schema.field("id").type), ("h", pa.int64())])
+        return pa.table({"root": pa.array([rows.column("root")[0].as_py()] * len(found), pa.int64()), **{c: pa.array([{"id": f[k][0], "h": f[k][1]} for f in found], ends) for k, c in enumerate(names)}})
+
+    if not left.isEmpty():
+        sizes = cut(left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / followers).cast("int").alias("parts")))
+        dealt = left.join(small(sizes, broadcast_rows), "root").withColumn("part", F.pmod(F.xxhash64("id", "h"), F.col("parts")).cast("int"))
+        tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+            "id", "h", "root", "held", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+        ends = f"struct<id:{kind},h:bigint>"
+        found = cut(tiled.groupBy("root", "x", "y").applyInArrow(tile, f"root bigint, a {ends}, b {ends}"))
+        gone.append(settle(found, most_links, broadcast_rows).select("a.id", "a.h"))
+    return reduce(DataFrame.union, gone)
+
+
+def settle(found: DataFrame, most_links: int = LINKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(a) of the nodes that go, of links (root, a, b) with b < a: by increasing node, one goes if it has a link to one that stays."""
+    kind = found.schema["a"].dataType.simpleString()
+    many = cut(found.groupBy("root").count().where(F.col("count") > most_links).select("root"))
+
+    def one_task(links: pa.Table) -> pa.Table:
+        below: dict[tuple, list[tuple]] = {}
+        for a, b in zip(links.column("a").to_pylist(), links.column("b").to_pylist()):
+            below.setdefault((a["id"], a["h"]), []).append((b["id"], b["h"]))
+        out: set[tuple] = set()
+        for a in sorted(below):
+            if any(b not in out for b in below[a]):
+                out.add(a)
+        return pa.table({"a": pa.array([{"id": i, "h": h} for i, h in sorted(out)], links.schema.field("a").type)})
+
+    gone = [cut(found.join(small(many, broadcast_rows), "root", "left_anti").groupBy("root").applyInArrow(one_task, f"a {kind}"))]
+    left = cut(found.join(small(many, broadcast_rows), "root", "left_semi").select("a", "b").distinct())
+    while not left.isEmpty():  # a link leads down, so in each round at least the least node of what hangs together is settled
+        first = left.select("b").distinct().join(left.select(F.col("a").alias("b")).distinct(), "b", "left_anti")
+        out = cut(left.join(first, "b", "left_semi").select("a").distinct())
+        gone.append(out)
+        left = cut(left.join(out, "a", "left_anti").join(out.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"))
+    return reduce(DataFrame.union, gone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float | None = COPY_SIMILARITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, all columns.
 
-    First the documents of a component of fingerprints give way to the one with the component's id; then, unless ``similarity`` is None, ``similar_copies`` of
-    what is left do. Ids are taken to be distinct; rows without an id stay. ``docs`` is read several times, so it has to give the same rows each time, as a
-    stored table does. The dropped ids are broadcast if there are at most ``broadcast_rows``, else joined by a shuffle.
+    Of a component of fingerprints the row with the least (id, text hash) stays; then, unless ``similarity`` is None, ``similar_copies`` of what is left go too, as
+    4 of 64 bits hold fewer pairs together than a similarity of 0.8 asks for. Rows are known by id and text, so rows of one id with different texts don't go together; of
+    rows that repeat both, one stays. Rows without an id stay. ``docs`` is read several times, so it has to give the same rows each time, as a stored table does.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    gone = cut(found.where(F.col(id_col) != F.col("component_id")).select(id_col))
-    left = docs.join(small(gone, broadcast_rows), id_col, "left_anti")
+    marked = _marked(docs, id_col, text_col, shingle)
+    found = marked.join(_components(marked), "fp").where(F.col("id").isNotNull())
+    own = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))
+    counted = found.groupBy("id", "h").agg(F.first(own).alias("again"), F.count(F.lit(1)).alias("n"))
+    gone = cut(counted.where("NOT again OR n > 1").select("id", "h", "again"))
+    left = drop_rows(docs, gone, id_col, text_col, broadcast_rows)
     if similarity is None:
         return left
-    copies = cut(similar_copies(left, id_col, text_col, similarity=similarity))
-    return left.join(small(copies, broadcast_rows), id_col, "left_anti")
+    copies = cut(similar_copies(left, id_col, text_col, similarity=similarity, broadcast_rows=broadcast_rows).distinct().withColumn("again", F.lit(False)))
+    return drop_rows(left, copies, id_col, text_col, broadcast_rows)

@@ -10,7 +10,7 @@ DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Columns that operators use inside, as extra columns of their input.
-CLASHES = ("_id", "_text", "_len", "_key", "kept", "keep_id", "fp", "score", "ids", "size", "shard", "entities", "block")
+CLASHES = ("_id", "_text", "_len", "_key", "kept", "keep_id", "fp", "score", "ids", "size", "shard", "entities", "block", "_gone_id", "_gone_key", "_gone_h", "decoded", "h", "again", "id", "root")
 
 
 def docs(spark, rows, parts=3):

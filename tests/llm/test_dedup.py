@@ -231,3 +231,43 @@ def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(200)] + [(1000, 1000 + k) for k in range(1, 60)] + [(5, 5)]
     found = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(found[k] == 0 for k in range(1, 201)) and all(found[1000 + k] == 1000 for k in range(1, 60)) and len(found) == 259
+
+
+def plans_text(df, name="text"):
+    """Whether an exchange of the plan carries the column."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    lines = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n")
+    return plan.count("Exchange"), [x for x in lines if re.match(r"\(\d+\) Exchange", x) and re.search(rf"Input \[\d+\]: \[[^\]]*\b_?{name}#", x)]
+
+
+def test_exact_dedup_shuffles_no_texts(spark):
+    for limit in (1_000_000, 0):
+        made = exact_dedup.refine(spark.read.parquet(f"{SF}/documents.parquet"), broadcast_rows=limit)
+        n, carrying = plans_text(made)
+        assert n and not carrying
+
+
+ROWS = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "another text of its own that nothing else is like"), (5, None), (5, ""), (5, ""), (7, "u v w"), (7, "u v w"), (None, "u v w x")]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_rows_of_one_id(spark, limit):
+    """Rows are told apart by id and text: none goes that is no copy, and one of equal ones stays."""
+    kept = lambda df: sorted((str(r.doc_id), r.text or "") for r in df.collect())
+    other = ("5", "another text of its own that nothing else is like")
+    assert kept(exact_dedup.drop_copies(docs(spark, ROWS), broadcast_rows=limit)) == sorted([("5", "a b c d e f"), other, ("5", ""), ("7", "u v w"), ("None", "u v w x")])
+    assert kept(simhash.keep_one(docs(spark, ROWS), broadcast_rows=limit)) == sorted([("1", "a b c d e f"), other, ("5", ""), ("7", "u v w"), ("None", "u v w x")])
+    assert simhash.keep_one(docs(spark, []), broadcast_rows=limit).collect() == []
+
+
+def test_links_are_settled_alike_in_one_task_and_by_joins(spark):
+    rng = random.Random(12)
+    pairs = {tuple(sorted(rng.sample(range(60), 2), reverse=True)) for _ in range(90)} | {(100 + k, 99 + k) for k in range(1, 9)}
+    rows = [(1, {"id": a, "h": 0}, {"id": b, "h": 0}) for a, b in pairs]
+    found = spark.createDataFrame(rows, "root long, a struct<id:long,h:long>, b struct<id:long,h:long>")
+    out = set()
+    for a in sorted({a for a, _ in pairs}):
+        if any(y not in out for x, y in pairs if x == a):
+            out.add(a)
+    for most in (500_000, 0):
+        assert {r.a.id for r in simhash.settle(found, most).collect()} == out
