@@ -6,15 +6,16 @@ entropy is kept as a running sum of n*log2(n). Overlapping windows at or above t
 span that the allow-list matches, or that other spans cover already, is not added; one that they cover in part is added whole, so spans may overlap. Base
 spans are never dropped.
 
-Defined cases: a null or empty text has no spans; equal rows are each scanned; other columns are not read; positions are code
-points, end exclusive.
+Defined cases: a null or empty text has no spans; equal rows are each scanned; a text of any length is scanned whole, in time that grows with its length; an
+empty table gives no rows; other columns are not read; positions are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -92,13 +93,23 @@ def window_spans(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
-def covered(a: int, b: int, spans: list[tuple[int, int]]) -> bool:
-    """Whether the union of ``spans`` holds all of [a, b)."""
-    for x, y in sorted(s for s in spans if s[0] < b and a < s[1]):
-        if x > a:
-            return False
-        a = max(a, y)
-    return a >= b
+class Union:
+    """Characters that spans cover: intervals in order, apart from one another."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def covers(self, a: int, b: int) -> bool:
+        """Whether all of [a, b) is covered."""
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and self.ends[i] >= b
 
 
 class Scanner:
@@ -114,13 +125,14 @@ class Scanner:
         extra: list[tuple[int, int, int]] = []
         taken = [(a, b) for a, b, _ in base]
         for k, c, runs in self.classes:
+            before = Union(taken)  # spans of one class don't overlap
             for m in runs.finditer(text):
                 run = m[0]
                 if self.allow and self.allow.fullmatch(run):
                     continue
                 for a, b in window_spans(run, c.window, c.bits):
                     a, b = a + m.start(), b + m.start()
-                    if self.allow and self.allow.fullmatch(text, a, b) or covered(a, b, taken):
+                    if self.allow and self.allow.fullmatch(text, a, b) or before.covers(a, b):
                         continue
                     taken.append((a, b))
                     extra.append((a, b, k))

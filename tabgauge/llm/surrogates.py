@@ -1,16 +1,22 @@
 """Personal data replaced by keyed, type-consistent surrogates.
 
 1. Entities (e-mail, account, card, phone, IPv4 and social-security numbers, names) are found in every text; distinct entities are gathered by one
-   shuffle. An entity is compared in a normal form, so ``+1 (017) 555-7713`` and ``+1 017 555 7713`` are one.
-2. A surrogate comes from HMAC-SHA256 of (kind, entity, attempt): letters stay letters of their script, digits digits, marks stay where they are;
-   a valid checksum stays valid; given names keep gender and script, surnames the script.
-3. Collision checks: an entity whose surrogate is a real entity of the corpus, or the surrogate of another one, takes its next attempt, until
-   none is left. So different entities stay different, and one entity has one surrogate in all documents.
-4. Texts are rewritten where they are read. Only attempts above 0 must be known for that. They are few and go to all tasks if there are at most ``broadcast_rows``; beyond
+   shuffle. An entity is compared in a normal form, so ``+1 (017) 555-7713`` and ``+1 017 555 7713`` are one. Card and account numbers count if
+   their checksums hold.
+2. Numbers and addresses: a keyed permutation (a Feistel network over HMAC-SHA256, walked until it falls into the form again) of all values of the
+   entity's form, so different entities of a form get different surrogates. Letters stay letters of their script and case, digits digits, marks stay; country codes, top-level domains, private and
+   special address ranges and the lengths of their parts stay; checksums hold. Names: made-up ones of the same script and gender.
+3. Collision checks, on what is written and over all kinds: an entity whose surrogate is a real entity of the corpus, or was given to another one, takes its next attempt, up to
+   ``ATTEMPTS``. Where a form is so crowded that this fails, the rest of its entities take each other's values, each the next one's in a keyed order: different entities still stay
+   different and none keeps its own value, but those surrogates occur in the corpus as other entities. A form with one possible value keeps it.
+4. Texts are rewritten where they are read. Only entities beyond their first attempt must be known for that. They are few and go to all tasks if there are at most ``broadcast_rows``; beyond
    that they are joined to the documents that mention them.
 
+Names are found after a title (before it in Han script), by a given name of a short list before a capitalised word, after a phrase that introduces a name, and before an e-mail address in brackets;
+each part that was found counts wherever else it stands in the document in the same spelling. A name that nothing of this kind announces is not found.
+
 Defined cases: a null text stays null and an empty one empty; spans are code points of the text written; of overlapping entities the first kind in ``KINDS``
-counts; repeated rows are each rewritten, alike; null ids are kept; other columns are not read.
+counts; repeated rows are each rewritten, alike; null ids are kept; a text of any length is scanned whole, in time that grows with its length; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,16 +24,21 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabgauge.llm.common import cut
 
 #: In order of precedence.
 KINDS = ("email", "iban", "card", "phone", "ipv4", "ssn", "given", "surname")
+#: Tries for a surrogate that isn't taken, and entities of a crowded form that one task puts in order.
+ATTEMPTS, CROWD = 12, 100_000
 
 _EMAIL = re.compile(r"(?<![\w.+-])[\w](?:[\w.+-]*[\w+-])?@(?:[\w-]+\.)+[A-Za-z]{2,}(?![\w-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -38,23 +49,37 @@ _PHONE = re.compile(
     r"|(?<![\w+.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![\w])"  # 555-123-4567
 )
 _IPV4 = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])(?![A-Za-z_])")
-_SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
+_SSN = re.compile(r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])")
 #: Titles that say the gender of the name after them, and titles that don't.
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "Госпожа", "Г-жа")
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Г-н")
-OTHER_TITLES = ("Dr", "Prof", "Доктор")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "Госпожа", "Г-жа", "Κυρία", "السيدة", "الآنسة")
+MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Г-н", "Κύριος", "Κύριε", "السيد")
+OTHER_TITLES = ("Dr", "Prof", "Доктор", "Δρ", "الدكتور", "الدكتورة")
+#: Titles after a name in Han script.
+HAN_TITLES = {"女士": "f", "小姐": "f", "先生": "m", "教授": "", "博士": ""}
 #: Given names that are known without a title, if a capitalised word follows.
 FEMALE_GIVEN = ("Mary", "Maria", "María", "Anna", "Emma", "Sarah", "Laura", "Julia", "Sophie", "Elena", "Claire", "Lucía", "Katharina", "Jennifer", "Elizabeth", "Patricia", "Мария", "Анна", "Елена", "Ольга")
 MALE_GIVEN = ("John", "James", "Robert", "Michael", "David", "William", "Thomas", "Peter", "Pierre", "Hans", "Carlos", "José", "Pedro", "Stefan", "Jürgen", "Richard", "Иван", "Сергей", "Дмитрий", "Алексей")
-_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(?:[-’'][^\W\d_]+)?"
+#: What introduces a given name and a surname.
+CUES = ("name is", "Name:", "From:", "To:", "Cc:", "Author:", "Contact:", "Signed:", "signed by", "Sincerely,", "Regards,", "Ich heiße", "Mein Name ist", "m'appelle", "me llamo", "Me llamo", "mi nombre es", "Mi nombre es", "Меня зовут", "меня зовут", "Με λένε", "με λένε", "اسمي")
+_CAPITAL = r"[^\W\d_a-zß-öø-ÿа-яёα-ωά-ώ][^\W\d_]+(?:[-’'][^\W\d_]+)?"
+_MARKS = FEMALE_TITLES + MALE_TITLES + OTHER_TITLES + FEMALE_GIVEN + MALE_GIVEN
 _NAME = re.compile(
-    rf"\b(?P<title>{'|'.join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)})\.?[ ](?P<first>{_CAPITAL})(?:[ ](?P<last>{_CAPITAL}))?"
+    rf"\b(?P<title>{'|'.join(sorted(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES, key=len, reverse=True))})\.?[ ](?P<first>{_CAPITAL})(?:[ ](?P<last>{_CAPITAL}))?"
     rf"|\b(?P<given>{'|'.join(FEMALE_GIVEN + MALE_GIVEN)})[ ](?P<after>{_CAPITAL})")
-#: Syllables of made-up names by script; given names end by gender.
+_CUED = re.compile(rf"(?:{'|'.join(map(re.escape, CUES))})\s+(?P<one>{_CAPITAL})[ ](?P<two>{_CAPITAL})")
+_MAILED = re.compile(rf"\b(?P<one>{_CAPITAL})[ ](?P<two>{_CAPITAL})[ ]?[<(](?=[\w.+-]+@)")
+_HAN = re.compile(rf"(?P<two>[一-鿿])(?P<one>[一-鿿]{{1,2}}?)(?P<title>{'|'.join(HAN_TITLES)})")
+_WORD = re.compile(_CAPITAL)
+#: Syllables of made-up names by script; given names end by gender, surnames alike.
 NAME_PARTS = {
     "latin": (("bel", "cor", "dan", "el", "fal", "gar", "hel", "jor", "kel", "lor", "mar", "nor", "per", "ros", "sel", "tor", "val", "wen"), {"f": ("ia", "ina", "elle", "a"), "m": ("in", "o", "us", "en"), "": ("is", "e", "y", "an")}, ("son", "mann", "ez", "ard", "ley", "er")),
     "cyrillic": (("бел", "вар", "гор", "дан", "ел", "зор", "кор", "лад", "мир", "нор", "рад", "сев", "тим", "яр"), {"f": ("а", "ия", "ина"), "m": ("ан", "ен", "ислав"), "": ("а", "ь")}, ("енко", "ко", "ук", "ич")),
+    "greek": (("αλ", "βελ", "γαρ", "δαν", "ζαν", "θεο", "καρ", "λεον", "μαρ", "νικ", "παν", "σελ", "τιμ", "φιλ"), {"f": ("ία", "ίνα", "η"), "m": ("ος", "ης", "ων"), "": ("ις", "υ")}, ("ίδης", "άκης", "όπουλος")),
+    "arabic": (("با", "دا", "را", "سا", "كا", "لا", "ما", "نا", "فا", "جا", "حا", "طا"), {"f": ("ية", "ينة"), "m": ("ين", "ود"), "": ("ان", "ام")}, ("اوي", "اني", "ري")),
+    "han": (tuple("云山石林江河海川木青田平安文明光远清和松"), {"f": tuple("兰梅莲英"), "m": tuple("刚强军峰"), "": tuple("新正")}, tuple("丘古白方")),
 }
+#: Letters that stand for one another; other letters stand for those of their case among 64 neighbouring code points.
+ALPHABETS = ("0123456789", *(x for low in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω") for x in (low, low.upper())))
 
 
 def _luhn(digits: str) -> int:
@@ -70,35 +95,90 @@ def _iban_checked(plain: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+Span = tuple[int, int, str, str]
+
+
+def _beside(taken: list[Span], more: list[Span]) -> list[Span]:
+    """Both lists, in order, without those of ``more`` that overlap one of ``taken``; each is in order and free of overlaps."""
+    out, i = [], 0
+    for x in more:
+        while i < len(taken) and taken[i][1] <= x[0]:
+            out.append(taken[i])
+            i += 1
+        if i == len(taken) or x[1] <= taken[i][0]:
+            out.append(x)
+    return out + taken[i:]
+
+
 class Finder:
     """Entities of a text: (start, end, kind, normal form), in order, without overlaps."""
 
-    def __call__(self, text: str) -> list[tuple[int, int, str, str]]:
-        found: list[tuple[int, int, str, str]] = []
+    def __call__(self, text: str) -> list[Span]:
+        taken: list[Span] = []
+
+        def add(kind: str, pattern: re.Pattern, normal, right=None) -> None:
+            nonlocal taken
+            found = [(m.start(), m.end(), kind, normal(m[0])) for m in pattern.finditer(text)]
+            taken = _beside(taken, [x for x in found if right is None or right(x[3])])
+
+        if "@" in text:
+            add("email", _EMAIL, str.lower)
+        if re.search(r"[0-9]{2}|[0-9]\.", text):
+            add("iban", _IBAN, lambda x: x.replace(" ", ""), _iban_checked)
+            add("card", _CARD, lambda x: re.sub(r"\D", "", x), lambda x: _luhn(x) == 0)
+            add("phone", _PHONE, lambda x: re.sub(r"[^0-9+]", "", x))
+            add("ipv4", _IPV4, str)
+            add("ssn", _SSN, lambda x: x.replace("-", ""))
+        names = self.names(text)
+        return _beside(taken, names) if names else taken
+
+    @staticmethod
+    def names(text: str) -> list[Span]:
+        """Parts of names, given names with their gender."""
+        found: list[Span] = []
+
+        def pair(m: re.Match, first: str, last: str, gender: str) -> None:
+            gender = gender or ("f" if m[first] in FEMALE_GIVEN else "m" if m[first] in MALE_GIVEN else "")
+            found.append((*m.span(first), "given", f"{gender}:{m[first].casefold()}"))
+            found.append((*m.span(last), "surname", m[last].casefold()))
+
+        if any(x in text for x in _MARKS):
+            for m in _NAME.finditer(text):
+                title, given = m["title"], m["given"]
+                if title and not m["last"]:  # a title and one name: the surname
+                    found.append((*m.span("first"), "surname", m["first"].casefold()))
+                else:
+                    pair(m, *(("first", "last") if title else ("given", "after")), "f" if title in FEMALE_TITLES or given in FEMALE_GIVEN else "m" if title in MALE_TITLES or given in MALE_GIVEN else "")
+        if any(x in text for x in CUES):
+            for m in _CUED.finditer(text):
+                pair(m, "one", "two", "")
         if "@" in text:
-            found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
-        if re.search(r"[0-9]{2}", text) or re.search(r"[0-9]\.", text):
-            found += [(m.start(), m.end(), "iban", m[0].replace(" ", "")) for m in _IBAN.finditer(text)]
-            found += [(m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in _CARD.finditer(text)]
-            found += [(m.start(), m.end(), "phone", re.sub(r"[^0-9+]", "", m[0])) for m in _PHONE.finditer(text)]
-            found += [(m.start(), m.end(), "ipv4", m[0]) for m in _IPV4.finditer(text)]
-            found += [(m.start(), m.end(), "ssn", m[0].replace("-", "")) for m in _SSN.finditer(text)]
-        for m in _NAME.finditer(text):
-            title, given = m["title"], m["given"]
-            if title and not m["last"]:  # a title and one name: the surname
-                found.append((*m.span("first"), "surname", m["first"].casefold()))
-            else:
-                gender = "f" if title in FEMALE_TITLES or given in FEMALE_GIVEN else "m" if title in MALE_TITLES or given in MALE_GIVEN else ""
-                first, last = ("first", "last") if title else ("given", "after")
-                gender = gender or ("f" if m[first] in FEMALE_GIVEN else "m" if m[first] in MALE_GIVEN else "")
-                found.append((*m.span(first), "given", f"{gender}:{m[first].casefold()}"))
-                found.append((*m.span(last), "surname", m[last].casefold()))
-        found.sort(key=lambda x: (KINDS.index(x[2]), x[0]))
-        taken: list[tuple[int, int, str, str]] = []
+            for m in _MAILED.finditer(text):
+                pair(m, "one", "two", "")
+        if any(x in text for x in HAN_TITLES):
+            for m in _HAN.finditer(text):
+                pair(m, "one", "two", HAN_TITLES[m["title"]])
+        if not found:
+            return []
+        found.sort(key=lambda x: x[:2])
+        # what was found, once for each place, and bare mentions of it elsewhere
+        held: list[Span] = []
         for x in found:
-            if all(x[1] <= y[0] or y[1] <= x[0] for y in taken):
-                taken.append(x)
-        return sorted(taken)
+            if not held or held[-1][1] <= x[0]:
+                held.append(x)
+        of: dict[str, tuple[str, str]] = {}
+        for a, b, kind, entity in held:  # a word that is known as both is a surname there, and a gender that is known once counts
+            word = text[a:b]
+            if kind == "surname" or word not in of or of[word][1].startswith(":"):
+                of[word] = (kind, entity)
+        held = [(a, b, *(of[text[a:b]] if kind == "given" and of[text[a:b]][0] == "given" else (kind, entity))) for a, b, kind, entity in held]
+        held = _beside(held, [(m.start(), m.end(), *of[m[0]]) for m in _WORD.finditer(text) if m[0] in of])
+        han = sorted({text[a:b] + text[c:d] for (a, b, k, _), (c, d, l, _) in zip(held, held[1:]) if b == c and (k, l) == ("surname", "given")})
+        if han:  # whole names without a title
+            parts = {text[a:d]: (b - a, e, f) for (a, b, k, e), (c, d, l, f) in zip(held, held[1:]) if b == c and (k, l) == ("surname", "given")}
+            more = [x for m in re.finditer("|".join(map(re.escape, han)), text) for n, e, f in [parts[m[0]]] for x in ((m.start(), m.start() + n, "surname", e), (m.start() + n, m.end(), "given", f))]
+            held = _beside(held, more)
+        return held
 
 
 class Stream:
@@ -115,54 +195,160 @@ class Stream:
         del self.pool[:4]
         return x * n >> 32
 
-    def like(self, c: str) -> str:
-        """A character of the kind of ``c``: digit, or letter of its script and case; others stay."""
-        if "0" <= c <= "9":
-            return str(self.below(10))
-        if not c.isalpha():
-            return c
-        low = "абвгдежзиклмнопрстуфхцчшэюя" if "Ѐ" <= c <= "ӿ" else "αβγδεζηθικλμνξοπρστυφχψω" if "Ͱ" <= c <= "Ͽ" else "abcdefghijklmnopqrstuvwxyz"
-        got = low[self.below(len(low))]
-        return got.upper() if c.isupper() else got
+
+def permute(key: bytes, tweak: str, x: int, n: int) -> int:
+    """The place of x in a keyed permutation of the numbers below n."""
+    if n < 2:
+        return x
+    half = ((n - 1).bit_length() + 1) // 2
+    mask, size = (1 << half) - 1, half // 8 + 1
+    while True:  # a Feistel network permutes the numbers of an even count of bits; those beyond n are walked through
+        left, right = x >> half, x & mask
+        for i in range(8):
+            message = f"{tweak}\0{i}\0".encode("utf-8", "replace") + right.to_bytes(size, "big")
+            noise = b"".join(hmac.digest(key, message + bytes([k]), "sha256") for k in range(size // 32 + 1))
+            left, right = right, left ^ int.from_bytes(noise, "big") & mask
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def _permuted(key: bytes, tweak: str, digits: list[int], radices: list[int]) -> list[int]:
+    """Digits of mixed radices, permuted as one number."""
+    x, n = 0, 1
+    for d, r in zip(digits, radices):
+        x, n = x * r + d, n * r
+    x, out = permute(key, tweak, x, n), []
+    for r in reversed(radices):
+        x, d = divmod(x, r)
+        out.append(d)
+    return out[::-1]
+
+
+@lru_cache(4096)
+def alphabet(c: str) -> str:
+    """The characters that may stand for c; of marks, c alone."""
+    if not c.isalpha() and not "0" <= c <= "9":
+        return c
+    own = next((a for a in ALPHABETS if c in a), None)
+    if own:
+        return own
+    start = ord(c) & ~63
+    return "".join(x for x in map(chr, range(start, start + 64)) if x.isalpha() and unicodedata.category(x) == unicodedata.category(c) and not any(x in a for a in ALPHABETS))
+
+
+def form(text: str) -> str:
+    """Equal for texts whose characters stand for one another."""
+    return "".join(alphabet(c)[0] for c in text)
+
+
+def like(key: bytes, tweak: str, text: str) -> str:
+    """A text of the same form, by a keyed permutation of all such texts."""
+    sets = [alphabet(c) for c in text]
+    got = _permuted(key, f"{tweak}\0{form(text)}", [a.index(c) for a, c in zip(sets, text)], [len(a) for a in sets])
+    return "".join(a[i] for a, i in zip(sets, got))
 
 
 def script_of(name: str) -> str:
-    return "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in name) else "latin"
+    for c in name:
+        for script, start, end in (("cyrillic", 0x400, 0x52F), ("greek", 0x370, 0x3FF), ("arabic", 0x600, 0x6FF), ("han", 0x4E00, 0x9FFF)):
+            if start <= ord(c) <= end:
+                return script
+        if c.isalpha() and ord(c) > 0x24F:
+            return "other"
+    return "latin"
+
+
+def network(octets: list[int]) -> str:
+    """The range of an IPv4 address: public, or a name for each private or special one."""
+    a, b = octets[:2]
+    if a in (0, 10, 127):
+        return str(a)
+    if a == 172 and 16 <= b < 32:
+        return "172.16"
+    if a == 100 and 64 <= b < 128:
+        return "100.64"
+    if (a, b) in ((192, 168), (169, 254)):
+        return f"{a}.{b}"
+    return "public" if a < 224 else "multicast" if a < 240 else "reserved"
+
+
+def _octets(entity: str) -> tuple[list[int], list[tuple[int, int]]]:
+    """The octets, and for each the lowest value and the number of values that may stand for it."""
+    octets = [int(o) for o in entity.split(".")]
+    ranges = [((0, 10), (10, 90), (100, 156))[len(str(o)) - 1] for o in octets]
+    own = network(octets)
+    if own in ("172.16", "100.64"):
+        low, high = {"172.16": (16, 32), "100.64": (64, 128)}[own]
+        start, size = ranges[1]
+        ranges[1] = (max(low, start), min(high, start + size) - max(low, start))
+    for i in range({"public": 0, "multicast": 0, "reserved": 0, "192.168": 2, "169.254": 2}.get(own, 1)):
+        ranges[i] = (octets[i], 1)
+    return octets, ranges
+
+
+_CODE = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
+
+
+def form_of(kind: str, entity: str) -> str:
+    """What a surrogate keeps: entities of one form are permuted among its values."""
+    if kind == "email":
+        return f"email {form(entity.rpartition('.')[0])}.{entity.rpartition('.')[2]}"
+    if kind == "iban":
+        return f"iban {entity[:2]} {form(entity[4:])}"
+    if kind == "card":
+        return f"card {entity[0]} {len(entity)}"
+    if kind == "phone":
+        code = _CODE.match(entity)
+        return f"phone {code[0] if code else ''} {len(entity)}"
+    if kind == "ipv4":
+        octets, ranges = _octets(entity)
+        return f"ipv4 {network(octets)} {ranges}"
+    if kind == "ssn":
+        return "ssn"
+    gender, _, name = entity.rpartition(":") if kind == "given" else ("", "", entity)
+    return f"{kind} {gender} {script_of(name)}"
 
 
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
-    """The surrogate's normal form for the ``attempt``-th try. Late attempts get longer where the form allows it."""
-    s = Stream(key, kind, entity, str(attempt))
-    longer = max(0, attempt - 8)
+    """The surrogate's normal form for the ``attempt``-th try. Names get longer with it; others are permuted anew."""
+    tweak = f"{kind}\0{attempt}"
     if kind == "email":
         local, _, domain = entity.partition("@")
         head, dot, top = domain.rpartition(".")
-        own = Stream(key, "domain", domain, str(attempt if attempt > 4 else 0))  # one domain has one surrogate
-        return "".join(map(s.like, local)) + "".join(s.like("a") for _ in range(longer)) + "@" + "".join(map(own.like, head)) + dot + top
+        return like(key, tweak, local) + "@" + like(key, f"domain\0{max(0, attempt - 4)}", head) + dot + top  # one domain has one surrogate
     if kind == "iban":
-        body = "".join(map(s.like, entity[4:]))
-        digits = int("".join(str(int(c, 36)) for c in body + entity[:2] + "00"))
-        check = 98 - digits % 97 if _iban_checked(entity) else s.below(98)
-        return entity[:2] + f"{check:02d}" + body
+        body = like(key, f"{tweak}\0{entity[:2]}", entity[4:])
+        return f"{entity[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + entity[:2] + '00')) % 97:02d}{body}"
     if kind == "card":
-        body = entity[0] + "".join(map(s.like, entity[1:-1]))
-        right = next(d for d in "0123456789" if _luhn(body + d) == 0)
-        return body + (right if _luhn(entity) == 0 else str((int(right) + 1 + s.below(9)) % 10))
+        body = entity[0] + like(key, tweak + entity[0], entity[1:-1])
+        return body + next(d for d in "0123456789" if _luhn(body + d) == 0)
     if kind == "phone":  # the country code stays
-        code = re.match(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})", entity)
+        code = _CODE.match(entity)
         head = code[0] if code else ""
-        return head + "".join(map(s.like, entity[len(head):]))
-    if kind == "ipv4":  # private networks stay private
-        octets = entity.split(".")
-        fixed = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] else 0
-        low, high = {1: 0, 2: 10, 3: 100}, {1: 10, 2: 100, 3: 256}
-        return ".".join(octets[:fixed] + [str(low[len(o)] + s.below(high[len(o)] - low[len(o)])) for o in octets[fixed:]])
+        return head + like(key, f"{tweak}\0{head}", entity[len(head):])
+    if kind == "ipv4":  # private and special ranges stay, and public addresses stay public
+        octets, ranges = _octets(entity)
+        own, tweak = network(octets), f"{tweak}\0{form_of(kind, entity)}"
+        while True:
+            octets = [low + d for (low, _), d in zip(ranges, _permuted(key, tweak, [o - low for o, (low, _) in zip(octets, ranges)], [n for _, n in ranges]))]
+            if network(octets) == own:
+                return ".".join(map(str, octets))
     if kind == "ssn":
-        return f"{1 + s.below(665):03d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
+        area, group, serial = int(entity[:3]), int(entity[3:5]), int(entity[5:])
+        a, g, s = _permuted(key, tweak, [area - 1 - (area > 666), group - 1, serial - 1], [898, 99, 9999])
+        return f"{a + 1 + (a >= 665):03d}{g + 1:02d}{s + 1:04d}"
+    s = Stream(key, kind, entity, str(attempt))
     gender, _, name = entity.rpartition(":") if kind == "given" else ("", "", entity)
-    parts, given_ends, family_ends = NAME_PARTS[script_of(name)]
-    ends = given_ends[gender] if kind == "given" else family_ends
-    made = "".join(parts[s.below(len(parts))] for _ in range(2 + s.below(2) + longer)) + ends[s.below(len(ends))]
+    script = script_of(name)
+    if script == "other":
+        letters = [c for c in name if c.isalpha()]
+        made = "".join(alphabet(c)[s.below(len(alphabet(c)))] for c in letters + letters[:1] * attempt)
+    else:
+        parts, given_ends, family_ends = NAME_PARTS[script]
+        ends = given_ends[gender] if kind == "given" else family_ends
+        few = 1 if script == "han" else 2 + s.below(2)
+        made = "".join(parts[s.below(len(parts))] for _ in range(few + attempt)) + ends[s.below(len(ends))]
     return f"{gender}:{made}" if kind == "given" else made
 
 
@@ -177,7 +363,12 @@ def render(kind: str, seen: str, made: str) -> str:
     if kind == "ipv4":
         return made
     name = made.rpartition(":")[2]
-    return name.upper() if seen.isupper() else name.capitalize()
+    return name.upper() if seen.isupper() and seen.lower() != seen and len(seen) > 1 else name.capitalize()
+
+
+def written(kind: str, normal: str) -> str:
+    """What collisions are checked on: the normal form without a gender."""
+    return normal.rpartition(":")[2] if kind == "given" else normal
 
 
 def _entities(docs: DataFrame, text_col: str) -> DataFrame:
@@ -194,45 +385,70 @@ def _entities(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "kind string, entity string").distinct()
 
 
-def assign(entities: DataFrame, key: bytes, most_attempts: int = 64) -> DataFrame:
-    """(kind, entity, attempt) of the entities that can't keep the surrogate of attempt 0. entities: distinct and materialised."""
+def assign(entities: DataFrame, key: bytes, attempts: int = ATTEMPTS, crowd: int = CROWD) -> DataFrame:
+    """(kind, entity, made) of the entities that can't keep the surrogate of attempt 0. entities: distinct and materialised."""
 
-    def made(rows: DataFrame) -> DataFrame:
+    def tries(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 kind, entity, attempt = (batch.column(c).to_pylist() for c in ("kind", "entity", "attempt"))
-                got = [surrogate(key, k, e, a) for k, e, a in zip(kind, entity, attempt)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "entity", "attempt")), pa.array(got, pa.string())], names=["kind", "entity", "attempt", "made"])
+                made = [surrogate(key, k, e, a) for k, e, a in zip(kind, entity, attempt)]
+                text = lambda values: pa.array(values, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("kind", "entity", "attempt")), text(made), text([written(k, m) for k, m in zip(kind, made)]), text([form_of(k, e) for k, e in zip(kind, entity)])],
+                    names=["kind", "entity", "attempt", "made", "written", "form"])
 
-        return rows.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, made string")
+        return rows.select("kind", "entity", "attempt").mapInArrow(run, "kind string, entity string, attempt int, made string, written string, form string")
 
-    real = entities.select("kind", F.col("entity").alias("made"))
-    tried = cut(made(entities.withColumn("attempt", F.lit(0))))
+    # as in written()
+    real = entities.select(F.when(F.col("kind") == "given", F.substring_index("entity", ":", -1)).otherwise(F.col("entity")).alias("written")).distinct()
     settled = None
-    for _ in range(most_attempts):
-        # The least entity that settled first wins a surrogate; a real entity of the corpus wins over all.
-        pool = tried.withColumn("_late", F.lit(1))
+    tried = cut(tries(entities.withColumn("attempt", F.lit(0))))
+    for n in range(attempts):
+        # Who settled first wins a surrogate, then the least entity; a real entity of the corpus wins over all.
+        pool = tried.withColumn("late", F.lit(1))
         if settled is not None:
-            pool = pool.unionByName(settled.withColumn("_late", F.lit(0)))
-        first = pool.groupBy("kind", "made").agg(F.min(F.struct("_late", "entity")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        lost = tried.join(first, ["kind", "made"]).where(F.col("_first.entity") != F.col("entity")).select("kind", "entity", "attempt")
-        lost = cut(lost.union(tried.join(real, ["kind", "made"], "left_semi").select("kind", "entity", "attempt")).distinct())
+            pool = pool.unionByName(settled.withColumn("late", F.lit(0)))
+        first = pool.groupBy("written").agg(F.min(F.struct("late", "kind", "entity")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        clash = tried.join(first, "written").where((F.col("first.kind") != F.col("kind")) | (F.col("first.entity") != F.col("entity")))
+        lost = cut(clash.select(*tried.columns).union(tried.join(real, "written", "left_semi").select(*tried.columns)).distinct())
         if lost.isEmpty():
             break
-        won = tried.join(lost, ["kind", "entity", "attempt"], "left_anti")
+        won = tried.join(lost, ["kind", "entity"], "left_anti")
         settled = cut(won if settled is None else settled.unionByName(won))
-        tried = cut(made(lost.withColumn("attempt", F.col("attempt") + 1)))
-    else:
-        raise RuntimeError(f"surrogates still collide after {most_attempts} attempts")
+        if n + 1 == attempts:
+            settled, tried = settled.unionByName(_rotated(lost, entities, tries, crowd)), lost.limit(0)
+        else:
+            tried = cut(tries(lost.withColumn("attempt", F.col("attempt") + 1)))
     everything = tried if settled is None else settled.unionByName(tried)
-    return everything.where("attempt > 0").select("kind", "entity", "attempt")
+    return everything.where("attempt > 0").select("kind", "entity", "made")
+
+
+def _rotated(lost: DataFrame, entities: DataFrame, tries, crowd: int) -> DataFrame:
+    """Entities that found no free surrogate: each takes the value of the next one of its form, in a keyed order; one that is alone that of another entity of its form."""
+    counts = cut(lost.groupBy("form").agg(F.count(F.lit(1)).alias("n")))
+    order = F.xxhash64("made", "entity")
+    parts = F.pmod(F.xxhash64("entity", "made"), F.ceil(F.col("n") / crowd)).alias("part")  # about ``crowd`` or more in each, so none is alone
+    dealt = lost.join(counts, "form").select(*lost.columns, "n", parts)
+    ring = Window.partitionBy("form", "part")
+    place = ring.orderBy(order, "entity")
+    ahead = F.coalesce(F.lead("entity").over(place), F.first("entity").over(place.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    many = dealt.where("n > 1").withColumn("made", ahead)
+    lone = cut(dealt.where("n = 1"))
+    if lone.isEmpty():
+        found = many
+    else:
+        others = tries(entities.withColumn("attempt", F.lit(0))).select("form", F.col("entity").alias("other"))
+        least = others.join(lone.select("form", "entity"), "form").where(F.col("other") != F.col("entity")).groupBy("form").agg(F.min("other").alias("other"))
+        found = many.unionByName(lone.join(least, "form", "left").withColumn("made", F.coalesce("other", "entity")).drop("other").select(many.columns))
+    return cut(found.withColumn("attempt", F.lit(1 << 20)).withColumn("written", F.col("made")).select(lost.columns))
 
 
-def rewrite(text: str, key: bytes, late: dict[tuple[str, str], int], find: Finder) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and their spans in it."""
+def rewrite(text: str, key: bytes, late: dict[tuple[str, str], str], find: Finder) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and their spans in it. ``late`` has the surrogates beyond the first attempt."""
     out, spans, at, length = [], [], 0, 0
     for a, b, kind, entity in find(text):
-        put = render(kind, text[a:b], surrogate(key, kind, entity, late.get((kind, entity), 0)))
+        put = render(kind, text[a:b], late.get((kind, entity)) or _first_attempt(key, kind, entity))
         out += [text[at:a], put]
         length += a - at
         spans.append((length, length + len(put), kind))
@@ -240,6 +456,11 @@ def rewrite(text: str, key: bytes, late: dict[tuple[str, str], int], find: Finde
     return "".join([*out, text[at:]]), spans
 
 
+@lru_cache(1 << 14)
+def _first_attempt(key: bytes, kind: str, entity: str) -> str:
+    return surrogate(key, kind, entity)
+
+
 def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
     """One row per document: ``id_col``, ``text_col`` with surrogates, and entities, an array of (start, end, kind) in the new text."""
     late = cut(assign(cut(_entities(docs, text_col)), key))
@@ -248,7 +469,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
     schema = f"`{id_col}` {id_type}, `{text_col}` string, entities array<struct<start:bigint,end:bigint,kind:string>>"
     few = late.limit(broadcast_rows + 1).count() <= broadcast_rows
-    known = {(r.kind, r.entity): r.attempt for r in late.collect()} if few else {}
+    known = {(r.kind, r.entity): r.made for r in late.collect()} if few else {}
     if not few:
         source = _with_late(source, late, id_col, text_col)
 
@@ -262,8 +483,7 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
                     texts.append(None)
                     found.append([])
                     continue
-                attempts = {(x["kind"], x["entity"]): x["attempt"] for x in extra} if extra else known
-                made, at = rewrite(text.as_py(), key, attempts, find)
+                made, at = rewrite(text.as_py(), key, {(x["kind"], x["entity"]): x["made"] for x in extra} if extra else known, find)
                 texts.append(made)
                 found.append([{"start": a, "end": b, "kind": k} for a, b, k in at])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(found, spans)], names=[id_col, text_col, "entities"])
@@ -272,16 +492,16 @@ def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_c
 
 
 def _with_late(source: DataFrame, late: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``source`` with the late attempts of each text's own entities, joined by the text's hash."""
-    keyed = source.withColumn("_key", F.sha2(text_col, 256))
+    """``source`` with the late surrogates of each text's own entities, joined by the text's hash."""
+    keyed = source.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"), F.sha2(text_col, 256).alias("own_key"))
 
     def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder()
         for batch in batches:
             rows = [(k, kind, entity) for k, text in zip(batch.column(0).to_pylist(), batch.column(1)) if text.is_valid for kind, entity in {x[2:] for x in find(text.as_py())}]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["_key", "kind", "entity"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows)], names=["own_key", "kind", "entity"])
 
-    said = keyed.select("_key", text_col).mapInArrow(mentions, "_key string, kind string, entity string").distinct()
-    own = said.join(late, ["kind", "entity"]).groupBy("_key").agg(F.collect_list(F.struct("kind", "entity", "attempt")).alias("_late"))
-    return keyed.join(own, "_key", "left").select(id_col, text_col, "_late")
+    said = keyed.select("own_key", "own_text").mapInArrow(mentions, "own_key string, kind string, entity string").distinct()
+    own = said.join(late, ["kind", "entity"]).groupBy("own_key").agg(F.collect_list(F.struct("kind", "entity", "made")).alias("late"))
+    return keyed.join(own, "own_key", "left").select(F.col("own_id").alias(id_col), F.col("own_text").alias(text_col), "late")

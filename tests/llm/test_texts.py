@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log2
@@ -301,6 +302,46 @@ def test_entropy_spans_beside_others():
     assert scan("see some/words-joined_by/dashes-and-slashes there") == ([], [])
 
 
+def brute_secrets(text):
+    """All spans, from the rules as they are stated: windows by their counts, runs by their characters, cover by positions."""
+    hexes, base64_ = set("0123456789abcdefABCDEF"), set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    spans = [(a, b, k) for a, b, k in secret_scan.base_spans(text)]  # compared with plain patterns above
+    held = {i for a, b, _ in spans for i in range(a, b)}
+    for kind, chars, bits in (("entropy_hex", hexes, 3.0), ("entropy_base64", base64_, 3.8)):
+        found = []
+        for run in re.finditer("".join(f"[{''.join(map(re.escape, sorted(chars)))}]+"), text):
+            if any(re.fullmatch(p, run[0]) for p in secret_scan.ALLOW):
+                continue
+            marked = set()
+            for i in range(run.start(), run.end() - 19):
+                if -sum(n / 20 * log2(n / 20) for n in Counter(text[i : i + 20]).values()) >= bits - 1e-9:
+                    marked.update(range(i, i + 20))
+            for i in sorted(marked):
+                if i - 1 not in marked:
+                    end = i
+                    while end in marked:
+                        end += 1
+                    if not any(re.fullmatch(p, text[i:end]) for p in secret_scan.ALLOW) and not set(range(i, end)) <= held:
+                        found.append((i, end, kind))
+        spans += found
+        held |= {i for a, b, _ in found for i in range(a, b)}
+    order = [*secret_scan.BASE_KINDS, "entropy_hex", "entropy_base64"]
+    return sorted(spans, key=lambda x: (x[0], order.index(x[2])))
+
+
+def test_scan_against_brute_force(spark):
+    rng = random.Random(31)
+    random_ = lambda chars, n: "".join(rng.choices(chars, k=n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    atoms = [lambda: random_(letters, rng.randint(10, 45)), lambda: random_("0123456789abcdef", rng.randint(15, 45)), lambda: "token=" + random_(letters, 24), lambda: "AKIA" + random_("ABCDEFGHIJKLMNOP0123", 18), lambda: "plain words",
+             lambda: "123e4567-e89b-42d3-a456-426614174000", lambda: "sha256-" + random_(letters, 30), lambda: "a" * 30, lambda: "EXAMPLE" + random_(letters, 20), lambda: "some/words-joined_by/dashes", lambda: "-" + random_("ABCDEF0123456789", 22), lambda: "é"]
+    rows = [(k, "".join(rng.choice(atoms)() + rng.choice([" ", " ", "", ". ", "_"]) for _ in range(rng.randint(0, 8)))) for k in range(400)] + [(900, None)]
+    found = {r.doc_id: [(s["start"], s["end"], s["kind"]) for s in r.spans] for r in secret_scan.scan_secrets(docs(spark, rows)).collect()}
+    for i, text in rows:
+        assert found[i] == brute_secrets(text or ""), text
+    assert sum(map(len, found.values())) > 500
+
+
 # shards
 
 
@@ -402,6 +443,85 @@ def test_surrogates_are_distinct_and_the_same_everywhere(spark, limit):
     assert len(set(got)) == len(got) and not set(got) & real
     assert surrogates.assign(spark.createDataFrame(sorted(real), "kind string, entity string"), KEY).count() > 0
 
+def plain_entities(text):
+    """An independent finder of what has a plain shape: tokens between spaces, split at commas."""
+    out = set()
+    for word in re.split(r"[\s,;]+", text):
+        if re.fullmatch(r"[a-z0-9.]+@[a-z0-9]+(\.[a-z]+)+", word):
+            out.add(("email", word))
+        parts = word.split(".")
+        if len(parts) == 4 and all(p.isdigit() and str(int(p)) == p and int(p) < 256 for p in parts):
+            out.add(("ipv4", word))
+        if len(word) == 16 and word.isdigit() and sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(word))) % 10 == 0:
+            out.add(("card", word))
+    return out
+
+
+def test_surrogates_against_an_independent_finder(spark):
+    rng = random.Random(21)
+    words_ = lambda: rng.choice(["see", "at", "20240115123456", "9807915762804490", "4111111111111111", f"{rng.randrange(256)}.{rng.randrange(256)}.1.9", f"u{rng.randrange(40)}@mail.org", "1.2.3", "300.1.1.1", "x@y"])
+    rows = [(k, ", ".join(words_() for _ in range(rng.randint(0, 12)))) for k in range(300)]
+    found = {r.doc_id: r for r in surrogates.replace_entities(docs(spark, rows), KEY).collect()}
+    real, to = set().union(*(plain_entities(t) for _, t in rows)), {}
+    for i, text in rows:
+        old, new = text.split(", "), found[i].text.split(", ")
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            own = plain_entities(a)
+            assert (a != b) == bool(own), (a, b)  # what isn't an entity stays
+            for kind, entity in own:
+                to.setdefault((kind, entity), set()).add(b)
+                assert {kind} == {k for k, _ in plain_entities(b)}
+    assert set(to) == real and all(len(s) == 1 for s in to.values())
+    made = {next(iter(s)) for s in to.values()}
+    assert len(made) == len(to) and not made & {e for _, e in real}
+
+
+def test_permutations_of_small_spaces():
+    for n in (1, 2, 3, 10, 97, 256, 1000):
+        assert sorted(surrogates.permute(KEY, "t", x, n) for x in range(n)) == list(range(n))
+    for pattern in ("10.0.0.{}", "172.16.{}.1", "192.168.7.{}", "8.8.8.{}", "100.64.0.{}"):
+        every = [pattern.format(k) for k in range(256)]
+        made = [surrogates.surrogate(KEY, "ipv4", x) for x in every if surrogates.network([int(o) for o in x.split(".")]) != "x"]
+        assert len(set(made)) == 256
+        for x, y in zip(every, made):
+            a, b = ([int(o) for o in z.split(".")] for z in (x, y))
+            assert surrogates.network(a) == surrogates.network(b) and list(map(len, x.split("."))) == list(map(len, y.split(".")))
+
+
+def test_crowded_forms_exchange_their_values(spark):
+    """All addresses of a form occur, so no surrogate is free; one of a form with two values; short numbers."""
+    every = [f"192.168.{a}.{b}" for a in range(10) for b in range(10)]
+    rows = [(k, f"at {x} here") for k, x in enumerate(every)] + [(500, "+1 22 33"), (501, "+1 22 34")]
+    for limit in (100_000, 0):
+        found = {r.doc_id: r.text for r in surrogates.replace_entities(docs(spark, rows), KEY, broadcast_rows=limit).collect()}
+        made = [found[k].split()[1] for k in range(100)]
+        assert sorted(made) == sorted(every) and all(a != b for a, b in zip(made, every))
+        assert len({found[500], found[501], "+1 22 33", "+1 22 34"}) == 4
+    lone = surrogates.assign(spark.createDataFrame([("ipv4", x) for x in every[:99]], "kind string, entity string"), KEY, crowd=20).collect()
+    values = {r.entity: r.made for r in lone}
+    assert all(a != b for a, b in values.items()) and len(set(values.values())) == len(values)
+
+
+def test_names_beyond_titles_and_lists():
+    names = lambda text: [(k, text[a:b]) for a, b, k, _ in surrogates.Finder()(text)]
+    assert names("My name is Alice Brown. Brown called; Alice left.") == [("given", "Alice"), ("surname", "Brown"), ("surname", "Brown"), ("given", "Alice")]
+    assert names("Alice Brown <a@b.org> wrote")[:2] == [("given", "Alice"), ("surname", "Brown")]
+    assert names("Then John Smith spoke. Smith sat, and John.") == [("given", "John"), ("surname", "Smith"), ("surname", "Smith"), ("given", "John")]
+    assert names("The Brown dog and the Young cat.") == []
+    for text, script in (("Κυρία Μαρία Παπαδοπούλου ήρθε, Μαρία", "greek"), ("قال السيد محمد علي ذلك", "arabic"), ("王小明先生说。王小明走了", "han"), ("Г-жа Анна Петрова", "cyrillic")):
+        made, spans = surrogates.rewrite(text, KEY, {}, surrogates.Finder())
+        assert len(spans) >= 2 and all(surrogates.script_of(made[a:b]) == script for a, b, _ in spans) and all(made[a:b] not in text for a, b, _ in spans)
+
+
+def test_many_entities_in_one_text_take_linear_time():
+    text = " ".join(f"1{i % 10}.{i // 10 % 256}.{i // 2560 % 256}.7 Mr. Smith" for i in range(30_000))
+    began = time.perf_counter()
+    assert len(surrogates.Finder()(text)) == 60_000 and time.perf_counter() - began < 10
+    text = " ".join(f"token=abcdef{i} {i:024x}" for i in range(30_000))
+    began = time.perf_counter()
+    assert len(secret_scan.Scanner().scan(text)[0]) == 60_000 and time.perf_counter() - began < 20
+
 
 def test_surrogates_of_an_empty_table(spark):
     assert surrogates.replace_entities(docs(spark, []), KEY).collect() == []
