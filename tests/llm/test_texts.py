@@ -223,6 +223,32 @@ def test_parts_of_items_with_substitutions(spark):
     assert {r.doc_id for r in decontamination.drop_contaminated(docs(spark, rows), bench).collect()} == {i for i, _ in rows} - {r.doc_id for r in found}
 
 
+def test_masks_hit_every_dense_stretch():
+    """All places of the substituted tokens, at both ends too."""
+    fits = lambda n, gone: any(not any(bit == "1" and at + i in gone for i, bit in enumerate(m)) for m in decontamination.MASKS for at in range(n - len(m) + 1))
+    for n in range(13, 21):
+        assert all(fits(n, set(gone)) for gone in itertools.combinations(range(n), n - -(-4 * n // 5))), n
+    rng = random.Random(3)
+    assert all(fits(n, set(rng.sample(range(n), n // 5))) for n in (25, 30, 35, 40, 60) for _ in range(3000))
+
+
+def test_repeated_tokens_take_linear_memory(spark):
+    """Every place of a document hits every place of an item."""
+    items = [(1, "echo " * 2000), (2, "one two " * 500), (3, "echo " * 8)]
+    rows = [(1, "echo " * 60_000), (2, "two one " * 20_000 + words(50, 1)), (3, "echo other " * 3000)]
+    found = decontamination.find(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_tokens) for r in found} == {(1, 1, 2000), (1, 3, 8), (2, 2, 1000)}
+
+
+def test_diagonals_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        n, m = rng.randint(1, 40), rng.randint(1, 20)
+        pairs = [(np.array(sorted(rng.sample(range(n), rng.randint(1, n)))), np.array(sorted(rng.sample(range(m), rng.randint(1, m))))) for _ in range(rng.randint(0, 4))]
+        want = sorted({int(x - y) for p, q in pairs for x in p for y in q})
+        assert decontamination.diagonals(n, m, [p for p, _ in pairs], [q for _, q in pairs]).tolist() == want
+
+
 def test_overlaps_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find(docs(spark, ODD), bench).collect() == []
