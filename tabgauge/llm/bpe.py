@@ -9,10 +9,12 @@ Words, positions and ids travel as compressed arrays. A word asks once for each
 key; a document stays in its block, and blocks are bounded by characters (a document longer than that is a block of its own).
 Block numbers come from task numbers; the words and the positions of a block leave the same shuffle, so they always agree.
 
-Decoding joins ids with the table of token bytes, whose size the vocabulary fixes, and adds up the bytes by position.
+Decoding joins the table of token bytes: as the vocabulary fixes its size, it is one broadcast row of an array by id, so that a document's ids meet it in place, in their order, and no
+row for each token is shuffled. No Python runs there.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; a null id or repeated rows are encoded like others; special tokens are ordinary
-text; other columns are not read; an empty table gives no rows. Ids that the table lacks raise an error in decoding.
+text; a text of any length is encoded whole, in a block of its own; other columns are not read; an empty table gives no rows. Ids that the table lacks raise an error in decoding, and
+a column that has the name of its result is replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +33,11 @@ import tiktoken
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tabgauge.llm.common import fresh, tasks_for
+
 BLOCK_CHARS = 6_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
 
@@ -127,7 +132,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str
         ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     source = docs.select(id_col, text_col)
     id_type, id_arrow = source.schema[0].dataType.simpleString(), to_arrow_type(source.schema[0].dataType)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = tasks_for(source)
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 2 * n))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,15 +216,13 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: s
     """``encoded`` with the bytes that its ids stand for, as ``out_col``."""
     if ranks is None:
         ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    place = encoded.columns.index(ids_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), f"`{out_col}` binary"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: token for token, i in ranks.items()}
-        for whole in batches:
-            for k in range(0, whole.num_rows, 500):  # small batches, for the memory of both sides
-                batch = whole.slice(k, 500)
-                decoded = [b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else b"" for ids in batch.column(place)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out_col])
-
-    return encoded.mapInArrow(run, schema)
+    by_id: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        by_id[i] = token.hex()
+    (name,) = fresh([*encoded.columns, out_col], "token_bytes")
+    table = encoded.sparkSession.createDataFrame([(by_id,)], f"{name} array<string>")
+    missing = lambda i: F.raise_error(F.concat(F.lit("KeyError: no token has the id "), F.coalesce(i.cast("string"), F.lit("NULL"))))
+    tokens = F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.coalesce(F.get(F.col(name), i), missing(i)))
+    joined = encoded.crossJoin(F.broadcast(table))  # one row
+    others = [c for c in encoded.columns if c != out_col]
+    return joined.select(*others, F.unhex(F.array_join(tokens, "")).alias(out_col))

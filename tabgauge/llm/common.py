@@ -64,7 +64,7 @@ def reread(df: DataFrame) -> DataFrame:
 def tasks_for(df: DataFrame, bytes_each: int = 64 << 20, most: int = 1 << 16) -> int:
     """Partitions for a shuffle of ``df``: the session's number, or more if the plan's statistics say that a partition would exceed ``bytes_each``."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(n, min(most, size // bytes_each)) if size < 1 << 50 else n  # beyond that nothing is known
 
 

@@ -567,3 +567,10 @@ def test_bpe_query_digests(spark, library):
         assert found[i].n_tokens == len(ids)
         assert found[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert found[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_decoding_replaces_a_column_of_its_name(spark):
+    rows = spark.createDataFrame([("x", [464, 262]), ("y", None)], "decoded string, ids array<int>")
+    found = bpe.decode(rows)
+    assert found.columns == ["ids", "decoded"] and [len(r.decoded) > 0 for r in found.collect()] == [True, False]
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
