@@ -411,6 +411,38 @@ def test_shards_of_a_text_beyond_one_shard(spark):
     assert len(load) == 8 and max(load.values()) < 1.1 * min(load.values())
 
 
+def brute_shards(found, n):
+    """Nearest to equal bytes that whole groups of equal texts allow: no shard is beyond the mean by more than the largest group that could have gone elsewhere."""
+    load, group = Counter(), Counter()
+    for r in found:
+        load[r.shard] += r.size
+        group[r.text_crc32, r.size] += r.size
+    return [load[s] for s in range(n)], group
+
+
+def test_shards_against_a_greedy_plan(spark):
+    """Groups put one by one, by size, into the emptiest shard are the yardstick."""
+    rng = random.Random(16)
+    rows = [(k, words(rng.choice([1, 2, 5, 30, 200]), k % 1500)) for k in range(2500)]
+    for n in (3, 8, 20):
+        found = sharding.shard_by_bytes(docs(spark, rows, 4), n).collect()
+        check_shards(rows, found, n)
+        load, group = brute_shards(found, n)
+        greedy = [0] * n
+        for size in sorted(group.values(), reverse=True):
+            greedy[greedy.index(min(greedy))] += size
+        assert max(load) - min(load) <= max(greedy) - min(greedy) + 0.02 * sum(load) / n + 2 * max(group.values())
+        assert len({(r.text_crc32, r.size, r.shard) for r in found}) == len(group)
+
+
+def test_many_shards_keep_few_numbers_on_the_driver(spark):
+    rows = [(k, words(4, k)) for k in range(4000)]
+    found = sharding.shard_by_bytes(docs(spark, rows), 400, ranges_per_shard=16).collect()
+    check_shards(rows, found, 400)
+    load, _ = brute_shards(found, 400)
+    assert min(load) > 0 and max(load) < 2.5 * sum(load) / 400
+
+
 # surrogates
 
 KEY = b"a key"
