@@ -1,7 +1,7 @@
 """Shards of near-equal bytes by sampled splitters.
 
 1. One scan gives (id, size, crc, key, tie) per row, ``key`` a hash of the text and ``tie`` a hash of the id; it is written once.
-2. Keys are sampled with a chance in proportion to size / total size + 1 / rows. The sample is put in order by a range partitioning of its own and its quantiles are the splitters
+2. Keys are sampled with a chance in proportion to size / total size + 1 / rows. The sample is put in order by a range partitioning of its own (on the driver up to ``SAMPLE_ROWS``) and its quantiles are the splitters
    of fine ranges, ``ranges_per_shard`` to a shard; only splitters reach the driver, as arrays. Ranges that hold over twice their share are sampled again and subdivided.
 3. Splitters fall between groups of equal texts, so a group stays in one shard. Heavy groups (over a hundredth of a shard)
    are ranges of their own, subdivided by ``tie``; only a group that is larger than a whole shard is spread over several.
@@ -30,7 +30,7 @@ RANGES_PER_SHARD = 128
 SAMPLES_PER_RANGE = 24
 
 
-#: Rows of a sample that one task puts in order.
+#: Rows of a sample, two numbers each, that the driver or one task puts in order.
 SAMPLE_ROWS = 500_000
 
 
@@ -62,9 +62,20 @@ def _merged(*parts: tuple[np.ndarray, np.ndarray], heavy: np.ndarray) -> tuple[n
     return keys[new], ties[new]
 
 
-def _quantiles(sample: DataFrame, rows: float, shares: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of the rows of each range of ``sample`` (_range, _key, _tie), as many quantiles as ``shares`` (_range, share) says, less one. ``rows`` is about the sample's size."""
-    tasks = int(rows // SAMPLE_ROWS) + 1
+def _quantiles(sample: DataFrame, rows: float, shares: list[tuple[int, int]], sample_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows of each range of ``sample`` (_range, _key, _tie), as many quantiles as ``shares`` (range, share) says, less one. ``rows`` is about the sample's size."""
+    tasks = int(rows // sample_rows) + 1
+    if tasks == 1:
+        found = sample.toArrow()
+        own, keys, ties = (found.column(c).to_numpy() for c in ("_range", "_key", "_tie"))
+        order = np.lexsort((ties, keys, own))
+        own, keys, ties = own[order], keys[order], ties[order]
+        numbers, share = (np.array(x, np.int64) for x in zip(*sorted(shares)))
+        first, n = np.searchsorted(own, numbers), np.searchsorted(own, numbers, "right") - np.searchsorted(own, numbers)
+        i = np.arange(len(own)) - np.repeat(first, n)
+        share, n = np.repeat(share, n), np.repeat(n, n)
+        chosen = (i > 0) & (i * share // n > (i - 1) * share // n)
+        return keys[chosen], ties[chosen]
     inner = (1 << 33) - 1
     held = cut(sample.repartitionByRange(tasks, "_key", "_tie").sortWithinPartitions("_key", "_tie").withColumn("_m", F.monotonically_increasing_id()))
     task, at = F.shiftright("_m", 33).alias("_task"), F.col("_m").bitwiseAND(F.lit(inner))
@@ -74,7 +85,7 @@ def _quantiles(sample: DataFrame, rows: float, shares: DataFrame) -> tuple[np.nd
         offsets.append((t, before))
         before += n
     placed = held.select("*", task).join(F.broadcast(sample.sparkSession.createDataFrame(offsets, "_task long, _before long")), "_task").withColumn("_g", F.col("_before") + at)
-    ranges = placed.groupBy("_range").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n")).join(shares, "_range")
+    ranges = placed.groupBy("_range").agg(F.min("_g").alias("_first"), F.count(F.lit(1)).alias("_n")).join(sample.sparkSession.createDataFrame(shares, "_range int, share int"), "_range")
     i = F.col("_g") - F.col("_first")
     step = lambda x: F.floor(x * F.col("share") / F.col("_n"))
     found = placed.join(small(cut(ranges)), "_range").where((i > 0) & (step(i) > step(i - 1))).select("_key", "_tie").toArrow()
@@ -106,7 +117,7 @@ def place(size: np.ndarray, key: np.ndarray, heavy: np.ndarray, n_shards: int) -
 
 def shard_by_bytes(
     docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text",
-    ranges_per_shard: int = RANGES_PER_SHARD, samples_per_range: int = SAMPLES_PER_RANGE, seed: int = 7,
+    ranges_per_shard: int = RANGES_PER_SHARD, samples_per_range: int = SAMPLES_PER_RANGE, seed: int = 7, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -133,7 +144,7 @@ def shard_by_bytes(
     def quantiles(of: DataFrame, times: float, shares: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Of a sample of about 2 * times * n * samples_per_range keys at most, as the weights of all rows add up to 2."""
         some = of.where(F.rand(seed) < weight * (times * n * samples_per_range)).select("_range", "_key", "_tie")
-        return _quantiles(some, 2 * times * n * samples_per_range, spark.createDataFrame(shares, "_range int, share int"))
+        return _quantiles(some, 2 * times * n * samples_per_range, shares, sample_rows)
 
     def counted(by: tuple[np.ndarray, np.ndarray]) -> tuple[DataFrame, dict[str, np.ndarray]]:
         """Rows with their range, and the ranges in key order."""
