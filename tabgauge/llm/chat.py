@@ -10,7 +10,8 @@ end a turn, and reading back takes it away again. The loss mask lists the code p
 
 Defined cases: a null text or role is empty; a null score is 0; a message whose parent is absent is a root; messages in or below a cycle are on no
 branch that starts at a root and are left out; a null tree id is a tree of its own; equal scores rank by the smaller leaf id; node ids are distinct within
-a tree, and of rows that repeat one the least (role, text) counts; other columns are not read; an empty table gives no rows. A branch is one record, so its texts must fit a row.
+a tree, and of rows that repeat one the least (role, text) counts; other columns are not read; an empty table gives no rows. Texts of any length are kept whole; a branch is one
+record, so its texts must fit a row.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabgauge.llm.common import cut
+from tabgauge.llm.common import cut, small, tasks_for
 
 #: What opens and closes a turn of each role; other roles are named.
 MARKERS = {"system": ("<<SYS>> ", " <</SYS>>\n"), "user": ("[INST] ", " [/INST]\n"), "assistant": ("<s> ", " </s>\n")}
@@ -119,11 +120,14 @@ def branches(messages: DataFrame, tree: str, node: str, parent: str, score: str,
 def conversations(messages: DataFrame, tree: str = "tree", node: str = "node", parent: str = "parent", role: str = "role", text: str = "text",
                   score: str = "score", keep: int = 1) -> DataFrame:
     """One row per chosen branch: tree, leaf, rank, n_turns, formatted, loss (array of (start, end), code points)."""
-    path = branches(messages, tree, node, parent, score, keep)
-    said = messages.groupBy(F.col(tree).alias("m_tree"), F.col(node).alias("m_node")).agg(F.min(F.struct(
-        F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))).alias("said"))
+    path = cut(branches(messages, tree, node, parent, score, keep).select(F.col("tree").alias("p_tree"), F.col("node").alias("p_node"), "leaf", "rank", "place"))
+    said = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.struct(
+        F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("said"))
+    same = said["tree"].eqNullSafe(path["p_tree"]) & (said["node"] == path["p_node"])
+    # Texts meet the ids of the chosen branches and are dealt out once, by branch; there rows that repeat a node give way to the least one.
+    own = said.join(small(path), same).select("tree", "leaf", "rank", "place", "said").repartition(tasks_for(messages), "tree", "leaf", "rank")
     turns = (
-        path.join(said, path["tree"].eqNullSafe(said["m_tree"]) & (path["node"] == said["m_node"]))
+        own.groupBy("tree", "leaf", "rank", "place").agg(F.min("said").alias("said"))
         .groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list(F.struct("place", "said.role", "said.text"))).alias("turns"))
     )
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
