@@ -5,8 +5,9 @@ Features are counts of byte 2- and 3-grams of the lower-cased text (all ASCII bu
 SVM picks the family; among the languages of a family one-versus-one SVMs vote, and margins break ties. All SVMs are fit
 by numpy on a bounded sample of labelled rows (``per_language`` documents of each language, each whole and in two short windows).
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0; null or empty languages teach nothing; without any labelled
-row all are ``und``; one language only is predicted with score 1. Repeated rows are each predicted. Other columns are not read.
+Defined cases: null texts, empty ones and texts without a letter are ``und`` with score 0; null languages teach nothing; without any labelled
+row all are ``und``; one language only is predicted with score 1; of equal votes the larger margins win, then the language that comes first by name. Repeated rows are each
+predicted; null ids are kept; a text of any length counts whole; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def fit(x: np.ndarray, langs: list[str], families: dict[str, tuple[str, ...]] =
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = PER_LANGUAGE, families: dict[str, tuple[str, ...]] = FAMILIES) -> Model:
     """A model from at most ``per_language`` rows of each language: those whose hashed ids come first."""
-    usable = labelled.where(F.coalesce(F.col(lang_col), F.lit("")) != "")
+    usable = labelled.where(F.col(lang_col).isNotNull())
     chosen = bounded_sample(usable, id_col, lang_col, per_language, 11)
     # The chosen ids are bounded by per_language times the number of languages.
     sample = usable.select(id_col, text_col, lang_col).join(small(chosen), [id_col, lang_col], "left_semi").select(text_col, lang_col)

@@ -1,12 +1,13 @@
 """Quality by supervised subword embeddings.
 
 A document's features are its words (runs without white space, case and marks kept), the byte 3- and 4-grams within and at the ends of
-words, and a mark for each word that repeats the one before it; all are hashed to ``BUCKETS`` vectors of ``SIZE`` numbers. The average of
+words, and one feature for all pairs of equal successive words; all are hashed to ``BUCKETS`` vectors of ``SIZE`` numbers. The average of
 these vectors goes through a linear layer and a softmax. Vectors and layer are learned by numpy stochastic gradient descent on a bounded
 sample of labelled documents, at most ``PER_LABEL`` of each label, whole texts. As the layer is linear, scoring needs one number per bucket.
 
 Defined cases: a null or empty text has the one feature that every document has, and gets a score too; null ids and repeated rows are scored
-like others; labels other than 0 and 1 and unlabelled documents teach nothing; without labels of both kinds every score is 0.5.
+like others; labels other than 0 and 1 and unlabelled documents teach nothing; a document with several labels teaches each; without labels of both kinds every score is 0.5.
+A text of any length counts whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tabgauge.llm import bpe, chat, decontamination, language_id, quality, queries, secret_scan, sharding, surrogates
+from tabgauge.llm import bpe, chat, decontamination, features, language_id, quality, queries, secret_scan, sharding, surrogates
 from tests.llm.helpers import ODD, SF, docs, table, words
 
 # chat
@@ -154,6 +154,92 @@ def test_quality_odd(spark):
     assert {r.score for r in quality.score(table_, blank).collect()} == {0.5}
 
 
+M64 = 2**64 - 1
+
+
+def plain_gram(data, at, n):
+    h = n
+    for i in range(n):
+        h = h + (data[at + i] + 1) * features._ODD[i] & M64
+    return h ^ h >> 29
+
+
+def plain_mix(h):
+    h = (h ^ h >> 30) * features._MIX[0] & M64
+    h = (h ^ h >> 27) * features._MIX[1] & M64
+    return h ^ h >> 31
+
+
+def plain_language(model, text):
+    """The prediction by loops over the text's bytes and the learned weights."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode("utf-8", "replace"))
+    padded, counts = b" " + data + b"    ", Counter()
+    for n in (2, 3):
+        for at in range(len(data) + 2):
+            if padded[at : at + n] != b" " * n:
+                counts[(plain_gram(padded, at, n) >> 7) % language_id.DIM] += 1
+    total = sum(counts.values())
+    dot = lambda w: float(w[-1]) + sum((c / total) ** 0.5 * float(w[k]) for k, c in counts.items())
+    margins = [dot(model.family_w[:, f]) for f in range(len(model.families))]
+    best = max(range(len(margins)), key=margins.__getitem__)
+    two = sorted(margins)[-2:]
+    names = model.members[model.families[best]]
+    votes, sums = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+    for (a, b), w in model.pair_w.items():
+        if a in names:
+            m = dot(w)
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+    pick = max(names, key=lambda x: (votes[x], sums[x]))
+    sure = 1 / (1 + np.exp(-2 * (two[1] - two[0])))
+    return pick, sure * (1 / (1 + np.exp(-4 * sums[pick] / max(1, len(names) - 1))) if len(names) > 1 else 1.0)
+
+
+def test_languages_against_plain_loops(spark):
+    table_ = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.train(table_.where(language_id.fold("doc_id", 3) != 1))
+    rows = [(i, t[:3000]) for i, t, *_ in table(SF, "documents")][:80] + [(1000, None), (1001, ""), (1002, "123 !"), (1003, "x"), (1004, "日本語")]
+    found = language_id.predict(docs(spark, rows), model).collect()
+    assert len(found) == len(rows)
+    for r, (i, text) in zip(sorted(found, key=lambda r: r.doc_id), sorted(rows)):
+        lang, score = plain_language(model, text)
+        assert (r.doc_id, r.lang_pred) == (i, lang) and abs(r.score - score) < 2e-3
+    assert language_id.predict(docs(spark, []), model).collect() == []
+
+
+def plain_quality(model, text):
+    """The score by loops over words and bytes and the learned scores of buckets."""
+    data = (text or "").encode("utf-8", "replace")
+    bucket = lambda h: h % (quality.BUCKETS - 2) + 2
+    found, before = [1], None
+    for word in re.split(rb"[ \t\n\x0b\x0c\r]+", data):
+        if word:
+            h = plain_mix(sum((c + 1) * pow(features._P, k, 2**64) for k, c in enumerate(word)) & M64)
+            found += [bucket(h)] + [0] * (h == before)
+            before = h
+    padded = b" " + data + b"     "
+    for n in (3, 4):
+        for at in range(len(data) + 2):
+            if not re.search(rb"[ \t\n\x0b\x0c\r]", padded[at + 1 : at + n - 1]):
+                found.append(bucket(plain_mix(plain_gram(padded, at, n))))
+    return 1 / (1 + np.exp(-(sum(float(model.bucket[k]) for k in found) / len(found) + model.bias)))
+
+
+def test_quality_against_plain_loops(spark):
+    table_ = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.train(table_, queries.learnable(spark, SF))
+    rows = [(i, t[:2000]) for i, t, *_ in table(SF, "documents")][:80] + [(1000, None), (1001, ""), (1002, " \t"), (1003, "a a a"), (1004, "日本語 é")]
+    found = quality.score(docs(spark, rows), model).collect()
+    assert len(found) == len(rows)
+    for r, (i, text) in zip(sorted(found, key=lambda r: r.doc_id), sorted(rows)):
+        want = plain_quality(model, text)
+        assert r.doc_id == i and abs(r.score - want) < 1e-5 and r.predicted == (r.score >= 0.7)
+    assert quality.score(docs(spark, []), model).collect() == []
+
+
 # decontamination
 
 
