@@ -115,10 +115,10 @@ class OneColumnMetric(Metric):
         raise NotImplementedError
 
     def __call__(self, a: ColumnRef, dataset: str | None = None) -> DataFrame:
-        from tabgauge.operators.columns import Probe, profile
+        from tabgauge.operators.columns import profile_table
 
         ref = as_ref(a)
-        spec = profile(ref.df, [Probe("a", ref.value, ref.field)])["a"]
+        spec = profile_table(ref.df, [ref.name], check=self.check)[ref.name]
         made = self.compute(ref, spec) if self.check_column_types(spec) else result_row(ref.df.sparkSession, self.name, ref.name)
         self._keep(made, dataset or ref.dataset or f"Series_{ref.name}", spec.n, 1)
         return made
@@ -143,7 +143,7 @@ class TwoColumnMetric(Metric):
         from tabgauge.operators.histogram import joint
 
         a, b = as_ref(a), as_ref(b)
-        held = joint([a, b])
+        held = joint([a, b], self.check)
         if self.check_column_types(*held.specs):
             made = self.compute(a, b, held)
         else:

@@ -26,6 +26,10 @@ class Check(ABC):
     @abstractmethod
     def affine(self, spec: ColumnSpec) -> bool: ...
 
+    def threshold(self, n: int) -> float | None:
+        """The distinct count that kinds of ``n`` rows turn on; None if that can't be said, so that all are counted exactly."""
+        return None
+
     def infer_dtype(self, spec: ColumnSpec) -> str:
         """The kind that the values spell: bool, int, float, datetime, timedelta, category or object."""
         if spec.categories is not None:
@@ -42,8 +46,11 @@ class ColumnCheck(Check):
     def __init__(self, min_num_unique: int = 10, ctl_mult: float = 2.5, strict_ordinal: bool = True):
         self.min_num_unique, self.ctl_mult, self.strict_ordinal = min_num_unique, ctl_mult, strict_ordinal
 
+    def threshold(self, n: int) -> float | None:
+        return max(self.min_num_unique, self.ctl_mult * log(max(1, n)))
+
     def continuous(self, spec: ColumnSpec) -> bool:
-        return spec.is_number and spec.n > 0 and spec.n_unique >= max(self.min_num_unique, self.ctl_mult * log(spec.n))
+        return spec.is_number and spec.n > 0 and spec.n_unique >= self.threshold(spec.n)
 
     def categorical(self, spec: ColumnSpec) -> bool:
         if spec.inferred == "unsupported":
@@ -62,11 +69,11 @@ class ColumnCheck(Check):
 def classify(df: DataFrame, names: Sequence[str] | None = None, check: Check | None = None) -> DataFrame:
     """(column, inferred, n_rows, n_missing, continuous, categorical, ordinal, affine) of each column."""
     check = check or ColumnCheck()
-    rows = [(s.name, check.infer_dtype(s), s.n, s.n_missing, check.continuous(s), check.categorical(s), check.ordinal(s), check.affine(s)) for s in profile_table(df, names).values()]
+    rows = [(s.name, check.infer_dtype(s), s.n, s.n_missing, check.continuous(s), check.categorical(s), check.ordinal(s), check.affine(s)) for s in profile_table(df, names, check=check).values()]
     return df.sparkSession.createDataFrame(rows, "column string, inferred string, n_rows long, n_missing long, continuous boolean, categorical boolean, ordinal boolean, affine boolean")
 
 
-def spec_of(x) -> ColumnSpec:
+def spec_of(x, check: Check | None = None) -> ColumnSpec:
     """The spec of one column."""
     ref = as_ref(x)
-    return profile_table(ref.df, [ref.name])[ref.name]
+    return profile_table(ref.df, [ref.name], check=check or ColumnCheck())[ref.name]

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tabgauge.functions.order import quantiles
 from tabgauge.operators.classify import Check, ColumnCheck
-from tabgauge.operators.columns import ColumnRef, ColumnSpec, Probe, profile
+from tabgauge.operators.columns import QUARTERS, ColumnRef, ColumnSpec, profile
 
 
 @dataclass(frozen=True)
@@ -106,13 +106,12 @@ class Joint:
     all: ColumnSpec
 
 
-def joint(refs: Sequence[ColumnRef]) -> Joint:
+def joint(refs: Sequence[ColumnRef], check: Check | None = None) -> Joint:
     df, field = stacked(refs)
-    v = F.col("v")
     # each column is classified by its own type, the concatenation by the common one
-    probes = [Probe(f"s{i}", v if r.field.dataType == field.dataType else v.cast(r.field.dataType), T.StructField(r.name, r.field.dataType, True, r.field.metadata), F.col("side") == i) for i, r in enumerate(refs)]
-    found = profile(df, [*probes, Probe("all", v, field)])
-    return Joint(df, tuple(found[f"s{i}"] for i in range(len(refs))), found["all"])
+    own = [T.StructField(r.name, r.field.dataType, True, r.field.metadata) for r in refs]
+    *specs, every = profile(df, [(F.col("v"), [*own, field])], "side", check=check)[0]
+    return Joint(df, tuple(specs), every)
 
 
 def category(spec: ColumnSpec, c: Column) -> Column:
@@ -122,7 +121,8 @@ def category(spec: ColumnSpec, c: Column) -> Column:
 
 def aligned_histogram(refs: Sequence[ColumnRef], check: Check | None = None, bin_edges: Sequence[float] | None = None, held: Joint | None = None) -> Histogram:
     """Counts of each column over shared bins (if their concatenation is continuous) or shared categories. Missing values don't count."""
-    check, held = check or ColumnCheck(), held or joint(refs)
+    check = check or ColumnCheck()
+    held = held or joint(refs, check)
     continuous = check.continuous(held.all)
     sides = range(len(refs))
     count = lambda i: F.count_if(F.col("side") == i).cast("double").alias(f"c{i}")
@@ -141,9 +141,9 @@ def aligned_histogram(refs: Sequence[ColumnRef], check: Check | None = None, bin
         counted = within.groupBy("bin").agg(*map(count, sides))
         totals = counted.agg(*[F.coalesce(F.sum(f"c{i}"), F.lit(0.0)) for i in sides]).first()
         return Histogram(counted, True, tuple(totals), len(edges) - 1, tuple(edges))
-    low, high = values.agg(F.min("v"), F.max("v")).first()
-    q1, q3 = quantiles(values, {"v": F.col("v")}, (0.25, 0.75), {"v": held.all.n_present})["v"]
-    bins = auto_bins(held.all.n_present, low, high, q1, q3)
+    one = held.all
+    q1, q3 = quantiles(values, {"v": F.col("v")}, QUARTERS, {"v": one.n_present}, uniques={"v": one.n_unique}, brackets={"v": one.brackets})["v"]
+    bins = auto_bins(one.n_present, one.low, one.high, q1, q3)
     counted = values.groupBy(bins.index(F.col("v")).alias("bin")).agg(*map(count, sides))
     return Histogram(counted, True, tuple(float(s.n_present) for s in held.specs), bins.count, tuple(bins.edges))
 
@@ -164,19 +164,15 @@ def paired(old: DataFrame, new: DataFrame, names: Sequence[str], check: Check, w
     kinds = {c: common_type([old.schema[c].dataType, new.schema[c].dataType]) for c in names}
     part = lambda df, side: df.select(F.lit(side).alias("_side"), *[ColumnRef(df, c).value.cast(kinds[c]).alias(c) for c in names])
     both = part(old, 0).unionAll(part(new, 1))
-    probes = []
-    for c in names:
-        v = F.col(f"`{c}`")
-        for key, where, field in (("old", F.col("_side") == 0, old.schema[c]), ("new", F.col("_side") == 1, new.schema[c]), ("all", None, T.StructField(c, kinds[c], True, old.schema[c].metadata))):
-            probes.append(Probe(f"{key}:{c}", v if field.dataType == kinds[c] else v.cast(field.dataType), field, where))
-    found = profile(both, probes)
-    numeric = {c: found[f"all:{c}"].read(F.col(f"`{c}`")) for c in names if check.continuous(found[f"all:{c}"])} if with_bins else {}
+    fields = [[old.schema[c], new.schema[c], T.StructField(c, kinds[c], True, old.schema[c].metadata)] for c in names]
+    found = dict(zip(names, profile(both, [(F.col(f"`{c}`"), f) for c, f in zip(names, fields)], "_side", check=check)))
+    every = {c: found[c][-1] for c in names}
+    numeric = {c: every[c].read(F.col(f"`{c}`")) for c in names if check.continuous(every[c])} if with_bins else {}
     bins: dict[str, Bins] = {}
     if numeric:
-        ends = both.agg(*[f(v).alias(f"{k}{i}") for i, v in enumerate(numeric.values()) for k, f in (("a", F.min), ("b", F.max))]).first()
-        quarter = quantiles(both, numeric, (0.25, 0.75), {c: found[f"all:{c}"].n_present for c in numeric})
-        bins = {c: auto_bins(found[f"all:{c}"].n_present, ends[f"a{i}"], ends[f"b{i}"], *quarter[c]) for i, c in enumerate(numeric)}
-    return both, {c: PairedColumn(c, found[f"old:{c}"], found[f"new:{c}"], found[f"all:{c}"], bins.get(c)) for c in names}
+        quarter = quantiles(both, numeric, QUARTERS, {c: every[c].n_present for c in numeric}, uniques={c: every[c].n_unique for c in numeric}, brackets={c: every[c].brackets for c in numeric})
+        bins = {c: auto_bins(every[c].n_present, every[c].low, every[c].high, *quarter[c]) for c in numeric}
+    return both, {c: PairedColumn(c, *found[c], bins.get(c)) for c in names}
 
 
 def paired_counts(both: DataFrame, columns: Mapping[str, PairedColumn]) -> DataFrame:

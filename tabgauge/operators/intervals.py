@@ -187,7 +187,7 @@ def _statistic(metric, refs, fixed_bins: bool) -> Statistic:
     if isinstance(metric, HistogramMetric):
         from tabgauge.operators.histogram import aligned_histogram, joint
 
-        held = joint(refs)
+        held = joint(refs, metric.check)
         continuous = metric.check.continuous(held.all)
         edges = aligned_histogram(refs, metric.check, held=held).edges if continuous and fixed_bins else None
         return lambda a, b: local_histogram_metric(metric, *local_shares(a, b, continuous, edges))
