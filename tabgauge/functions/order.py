@@ -108,7 +108,7 @@ def _slab_of(cuts: Column, steps: int, v: Column) -> Column:
 def running_sums(df: DataFrame, by: str, sums: Sequence[str], keys: Sequence[str] = (), n: int | None = None, slab: int = SLAB) -> DataFrame:
     """``df`` with ``cum_<c>`` for each of ``sums``: the sum over rows of the same ``keys`` whose ``by`` is at most the row's.
 
-    ``by`` is distinct within the keys, so ``df`` is a table of counts by value. Beyond ``slab`` rows, values are cut at approximate quantiles into slabs;
+    ``by`` is distinct within the keys, so ``df`` is a table of counts by value; ``n`` is the rows of the largest key. Beyond ``slab`` rows, values are cut at approximate quantiles into slabs;
     a window runs over each slab, and the sums of the slabs before it are added (as many rows as there are slabs).
     """
     n = df.count() if n is None else n

@@ -19,12 +19,13 @@ def without_nan(c: Column, kind: T.DataType) -> Column:
 
 def number(c: Column) -> Column:
     """The number that a string spells; suffixes such as ``1d``, hexadecimal and thousands marks don't count."""
-    return F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
+    first = F.ascii(c)  # white space, a sign, a point, a digit, or the i of infinity: most texts need no pattern
+    return F.when(((first <= 57) | first.isin(73, 105)) & c.rlike(_NUMBER), F.trim(c).try_cast("double"))
 
 
 def date(c: Column, formats: Sequence[str] = ()) -> Column:
     """The time that a string spells in ISO form or in one of ``formats``."""
-    iso = F.when(c.rlike(_DATE), F.trim(c).try_cast("timestamp"))
+    iso = F.when((F.ascii(c) <= 57) & c.rlike(_DATE), F.trim(c).try_cast("timestamp"))
     return F.coalesce(iso, *(F.try_to_timestamp(c, F.lit(f)) for f in formats)) if formats else iso
 
 

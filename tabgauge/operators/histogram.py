@@ -34,10 +34,13 @@ class Bins:
         return [k * self.step + self.low for k in range(self.count)] + [self.high]
 
     def index(self, v: Column) -> Column:
-        """The bin of a number within the bounds: by division, then moved by one where rounding put it beyond an edge."""
-        step, low = F.lit(self.step), F.lit(self.low)
-        k = F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), F.lit(self.count - 1)).cast("long")
-        return F.when(v < k * step + low, k - 1).when((k < self.count - 1) & (v >= (k + 1) * step + low), k + 1).otherwise(k)
+        return bin_index(v, F.lit(self.low), F.lit(self.step), F.lit(self.count))
+
+
+def bin_index(v: Column, low: Column, step: Column, count: Column) -> Column:
+    """The bin of a number within the bounds: by division, then moved by one where rounding put it beyond an edge."""
+    k = F.least(F.greatest(F.floor((v - low) / step), F.lit(0)), count - 1).cast("long")
+    return F.when(v < k * step + low, k - 1).when((k < count - 1) & (v >= (k + 1) * step + low), k + 1).otherwise(k)
 
 
 def auto_bins(n: int, low: float, high: float, q1: float, q3: float) -> Bins:

@@ -275,6 +275,25 @@ def aligned(a: ColumnRef, b: ColumnRef, x: Column, y: Column, align_on: Sequence
     return a.df.select(*align_on, x).join(b.df.select(*align_on, y), list(align_on))
 
 
+#: Cells that two columns of so many categories can have at most, up to which the counts of cells finish on the driver.
+FEW_CELLS = 100_000
+
+
+def cramers_v_of_cells(a: Sequence, b: Sequence, o: Sequence) -> float:
+    """The value from the filled cells; NaN if a column has one category only. Cells without rows count 0.5 each."""
+    import numpy as np
+
+    _, i = np.unique(np.asarray(a, object).astype(str), return_inverse=True)
+    _, j = np.unique(np.asarray(b, object).astype(str), return_inverse=True)
+    grid = np.full((i.max() + 1, j.max() + 1), 0.5)
+    grid[i, j] = o
+    if min(grid.shape) < 2:
+        return float("nan")
+    n = grid.sum()
+    e = np.outer(grid.sum(1), grid.sum(0)) / n
+    return float(np.sqrt(((grid - e) ** 2 / e).sum() / (n * (min(grid.shape) - 1))))
+
+
 def cramers_v_of(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, value) from a table (keys, a, b) of category pairs.
 
@@ -320,7 +339,11 @@ class CramersV(TwoColumnMetric):
             return result_row(a.df.sparkSession, self.name, a.name, b.name, 0.0)
         if not held.specs[0].n:
             return result_row(a.df.sparkSession, self.name, a.name, b.name)
-        return as_result(cramers_v_of(aligned(a, b, label(a.value).alias("a"), label(b.value).alias("b"), self.align_on)), self.name, a.name, b.name)
+        pairs = aligned(a, b, label(a.value).alias("a"), label(b.value).alias("b"), self.align_on)
+        if held.specs[0].n_unique * held.specs[1].n_unique <= FEW_CELLS:
+            cells = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("o")).collect()
+            return result_row(a.df.sparkSession, self.name, a.name, b.name, cramers_v_of_cells(*zip(*cells)) if cells else None)
+        return as_result(cramers_v_of(pairs), self.name, a.name, b.name)
 
 
 class EarthMoversBinned(TwoColumnMetric):
