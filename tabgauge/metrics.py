@@ -15,3 +15,12 @@ __all__ = [
     "TwoColumnMap", "TwoColumnMetric", "TwoDataFrameMetric", "binomial_proportion_interval", "bootstrap_binned_statistic", "bootstrap_statistic", "categorical", "classify", "column",
     "compare_all", "compute_binomial_interval", "compute_bootstrap_interval", "scalar",
 ]
+
+#: The metrics' long names.
+BhattacharyyaCoefficient, EarthMoversDistance, EarthMoversDistanceBinned, HellingerDistance = Bhattacharyya, EarthMovers, EarthMoversBinned, Hellinger
+JensenShannonDivergence, KendallTauCorrelation, KolmogorovSmirnovDistance, KullbackLeiblerDivergence = JensenShannon, KendallTau, KolmogorovSmirnov, KullbackLeibler
+TotalVariationDistance = TotalVariation
+__all__ += [
+    "BhattacharyyaCoefficient", "EarthMoversDistance", "EarthMoversDistanceBinned", "HellingerDistance", "JensenShannonDivergence", "KendallTauCorrelation", "KolmogorovSmirnovDistance",
+    "KullbackLeiblerDivergence", "TotalVariationDistance",
+]

@@ -155,6 +155,20 @@ class TwoColumnMetric(Metric):
         return scalar(self(a, b))
 
 
+def _kept_with_parts(metric: DataFrameMetric | TwoDataFrameMetric, made: DataFrame, df: DataFrame, dataset: str | None) -> DataFrame:
+    """``made``, after its parts and its summary went to the store by one append; it is computed once for that."""
+    if Metric.store is None or not metric.upload_to_database:
+        return made
+    if not dataset:
+        raise AttributeError("a result that is kept needs the name of its dataset")
+    rows = made.collect()  # a row for each column or pair of columns
+    made = df.sparkSession.createDataFrame(rows, made.schema)
+    n = df.count()
+    parts = [(name, category, value, f"{dataset}_{'_'.join(columns)}", n, 1) for name, category, columns, value in metric.parts(rows)]
+    Metric.store.add_all([*parts, (metric.name, metric.category, metric.summarize_result(made), dataset, n, len(df.columns))])
+    return made
+
+
 class DataFrameMetric(Metric):
     """A metric of a table: ``compute(df)`` gives a table, ``summarize_result(result)`` one number."""
 
@@ -166,11 +180,12 @@ class DataFrameMetric(Metric):
     def summarize_result(self, result: DataFrame) -> float | None:
         raise NotImplementedError
 
+    def parts(self, rows: list) -> list[tuple[str, str, tuple[str, ...], float | None]]:
+        """(metric, category, columns, value) of the results that are kept besides the summary, of the collected rows."""
+        return []
+
     def __call__(self, df: DataFrame, dataset: str | None = None) -> DataFrame:
-        made = self.compute(df)
-        if Metric.store is not None and self.upload_to_database:
-            self._keep(result_row(df.sparkSession, self.name, value=self.summarize_result(made)), dataset, df.count(), len(df.columns))
-        return made
+        return _kept_with_parts(self, self.compute(df), df, dataset)
 
 
 class TwoDataFrameMetric(Metric):
@@ -184,8 +199,9 @@ class TwoDataFrameMetric(Metric):
     def summarize_result(self, result: DataFrame) -> float | None:
         raise NotImplementedError
 
+    def parts(self, rows: list) -> list[tuple[str, str, tuple[str, ...], float | None]]:
+        """(metric, category, columns, value) of the results that are kept besides the summary, of the collected rows."""
+        return []
+
     def __call__(self, old: DataFrame, new: DataFrame, dataset: str | None = None) -> DataFrame:
-        made = self.compute(old, new)
-        if Metric.store is not None and self.upload_to_database:
-            self._keep(result_row(old.sparkSession, self.name, value=self.summarize_result(made)), dataset, old.count(), len(old.columns))
-        return made
+        return _kept_with_parts(self, self.compute(old, new), old, dataset)

@@ -347,9 +347,9 @@ class CramersV(TwoColumnMetric):
 
 
 class EarthMoversBinned(TwoColumnMetric):
-    """Earth mover's distance of two histograms given as counts, one row per bin, ``position`` their order.
+    """Earth mover's distance of two histograms given as counts, one row per bin; ``position`` is the bin's number from 0 on, and a bin without a row is empty.
 
-    With ``bin_edges`` the ground distance is that of the bins' centres, without it every move costs 1.
+    With ``bin_edges`` the ground distance is that of the bins' centres, without it every move costs 1. Two pandas Series are taken in their order.
     """
 
     name = "earth_movers_distance_binned"
@@ -365,40 +365,58 @@ class EarthMoversBinned(TwoColumnMetric):
         return True
 
     def __call__(self, a: ColumnRef, b: ColumnRef, dataset: str | None = None) -> DataFrame:
-        from tabgauge.operators.columns import as_ref
-
-        a, b = as_ref(a), as_ref(b)
-        if a.df is not b.df:
-            a, b = _side_by_side(a, b, self.position)
-        made = self.of(a.df, a.value, b.value, self.position or (_AT if _AT in a.df.columns else None), a.name, b.name)
-        self._keep(made, dataset or a.dataset or f"Series_{a.name}", a.df.count() if self.store is not None else 0, 1)
+        names = [x.name if x.name is not None else "value" for x in (a, b)]
+        if not isinstance(a, ColumnRef) and not isinstance(b, ColumnRef):
+            df, at = _in_order(a, b), _AT
+            x, y = F.col("x"), F.col("y")
+        elif a.df is b.df:
+            df, at, x, y = a.df, self.position, a.value, b.value
+        else:
+            if not self.position:
+                raise ValueError("histograms of two tables need position, the column with their bins' numbers")
+            one = lambda r, c: r.df.select(F.col(self.position).alias(_AT), r.value.alias(c))
+            df, at, x, y = one(a, "x").join(one(b, "y"), _AT, "full_outer"), _AT, F.col("x"), F.col("y")
+        made = self.of(df, x, y, at, *map(str, names))
+        self._keep(made, dataset or getattr(a, "dataset", None) or f"Series_{names[0]}", df.count() if self.store is not None else 0, 1)
         return made
 
     def of(self, df: DataFrame, x: Column, y: Column, position: str | None, a: str = "x", b: str = "y") -> DataFrame:
         if position is None and self.bin_edges is not None:
-            raise ValueError("ordered bins need position, the column with their order")
+            raise ValueError("ordered bins need position, the column with their numbers")
         held = df.select((F.col(position) if position else F.lit(0)).alias("at"), F.coalesce(x.cast("double"), F.lit(0.0)).alias("x"), F.coalesce(y.cast("double"), F.lit(0.0)).alias("y"))
-        sx, sy = held.agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+        if self.bin_edges is None:
+            sx, sy = held.agg(F.coalesce(F.sum("x"), F.lit(0.0)), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+            if not sx or not sy:
+                return result_row(df.sparkSession, self.name, a, b, 0.0 if sx == sy else 1.0)
+            return as_result(held.agg((F.sum(F.abs(F.col("x") / sx - F.col("y") / sy)) / 2).alias("value")), self.name, a, b)
+        bins = len(self.bin_edges) - 1
+        within = F.col("at").between(0, bins - 1)
+        rows = held.groupBy(F.when(within, F.col("at").cast("long")).alias("at")).agg(F.sum("x"), F.sum("y")).collect()  # a row for each bin at most
+        if any(at is None for at, _, _ in rows):
+            raise ValueError(f"position goes from 0 to {bins - 1}, the number of bins less one")
+        p, q = [0.0] * bins, [0.0] * bins
+        for at, u, v in rows:
+            p[at], q[at] = u, v
+        sx, sy = sum(p), sum(q)
         if not sx or not sy:
             return result_row(df.sparkSession, self.name, a, b, 0.0 if sx == sy else 1.0)
-        held = held.select("at", (F.col("x") / sx).alias("p"), (F.col("y") / sy).alias("q"))
-        if self.bin_edges is None:
-            return as_result(held.agg((F.sum(F.abs(F.col("p") - F.col("q"))) / 2).alias("value")), self.name, a, b)
         centers = [(u + v) / 2 for u, v in zip(self.bin_edges, self.bin_edges[1:])]
-        summed = running_sums(held, "at", ["p", "q"], n=len(centers))
-        from pyspark.sql.window import Window
-
-        nth = F.row_number().over(Window.orderBy("at"))  # as many rows as there are bins
-        steps = [v - u for u, v in zip(centers, centers[1:])] + [0.0]
-        step = F.element_at(F.array(*[F.lit(s) for s in steps]), F.col("k"))
-        return as_result(summed.withColumn("k", nth).agg(F.sum(F.abs(F.col("cum_p") - F.col("cum_q")) * step).alias("value")), self.name, a, b)
+        apart = total = 0.0
+        for k in range(bins - 1):
+            apart += p[k] / sx - q[k] / sy
+            total += abs(apart) * (centers[k + 1] - centers[k])
+        return result_row(df.sparkSession, self.name, a, b, total)
 
 
 _AT = "_position"
 
 
-def _side_by_side(a: ColumnRef, b: ColumnRef, position: str | None) -> tuple[ColumnRef, ColumnRef]:
-    """Two histograms of two tables in one, by their position column; small ones made on the driver have their rows' order as it."""
-    one = lambda r, c: (r.df.select(F.col(position).alias(_AT), r.value.alias(c)) if position else r.df.rdd.zipWithIndex().map(lambda x, n=r.name: (x[1], None if x[0][n] is None else float(x[0][n]))).toDF(f"{_AT} long, {c} double"))
-    joined = one(a, "_x").join(one(b, "_y"), _AT, "full_outer")
-    return ColumnRef(joined, "_x", a.dataset), ColumnRef(joined, "_y", b.dataset)
+def _in_order(a, b) -> DataFrame:
+    """Two pandas Series side by side, numbered by their order; the shorter one ends in empty bins."""
+    from itertools import zip_longest
+
+    from pyspark.sql import SparkSession
+
+    number = lambda v: None if v is None or v != v else float(v)
+    rows = [(k, number(x), number(y)) for k, (x, y) in enumerate(zip_longest(a, b))]
+    return SparkSession.builder.getOrCreate().createDataFrame(rows, f"{_AT} long, x double, y double")

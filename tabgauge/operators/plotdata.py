@@ -84,16 +84,16 @@ def continuous_column(col, grid: int = GRID) -> DataFrame:
 
 
 def continuous_window(cols: Sequence, remove_outliers: float = 0.0, sample_size: int | None = None, names: Sequence[str] | None = None, seed: int = 0) -> tuple[DataFrame, tuple[float, float] | None]:
-    """(dataset, value) of columns within the window of the first one: its percentiles 50r and 100-50r, or all if these agree."""
+    """(dataset, value) of columns, each drawn down to ``sample_size``, within the window of the first one: its percentiles 50r and 100-50r, or all if these agree."""
     refs = [as_ref(c) for c in cols]
     read = lambda r: r.df.select(profile_table(r.df, [r.name])[r.name].ordinal_value(r.value).alias("value")).where("value IS NOT NULL")
     held = [read(r) for r in refs]
     sizes = [h.count() for h in held]
-    size = min(sizes) if sample_size is None else min(sample_size, *sizes)
-    drawn = [_sampled(h, n, size, seed) for h, n in zip(held, sizes)]
+    drawn = [h if sample_size is None else _sampled(h, n, sample_size, seed) for h, n in zip(held, sizes)]
     parts = reduce(DataFrame.unionAll, [d.select(F.lit(name).alias("dataset"), "value") for d, name in zip(drawn, series_names(len(refs), names))])
-    if not size:
+    if not min(sizes):
         return parts.where(F.lit(False)), None
+    size = sizes[0] if sample_size is None else min(sample_size, sizes[0])
     low, high = quantiles(drawn[0], {"v": F.col("value")}, (0.5 * remove_outliers, 1 - 0.5 * remove_outliers), {"v": size})["v"]
     if low == high:
         low, high = drawn[0].agg(F.min("value"), F.max("value")).first()
@@ -167,7 +167,13 @@ def dataset(dfs: Sequence[DataFrame], columns: Sequence[str] | None = None, remo
         if r.panel == "categorical":
             data[r.column] = categorical_counts(refs, sample_size, seed=seed)
         elif r.panel == "continuous":
-            data[r.column] = continuous(refs, remove_outliers, sample_size, seed=seed)
+            kept, window = continuous_window(refs, remove_outliers, sample_size, seed=seed)
+            there = {x.dataset for x in kept.select("dataset").distinct().collect()}
+            lacking = [i for i, n in enumerate(series_names(len(refs))) if n not in there]
+            if lacking:  # nothing to compare
+                data[r.column] = text_only(plan.sparkSession, f"{r.column}: column {lacking[0]} " + ("has no values" if window is None else "lies outside the first one's range"))
+            else:
+                data[r.column] = continuous(refs, remove_outliers, sample_size, seed=seed)
         else:
             data[r.column] = text_only(plan.sparkSession, f"{r.column}: {r.n_categories} categories, more than {max_categories}")
     return plan, data

@@ -59,6 +59,9 @@ class OneColumnMap(DataFrameMetric):
             for c, s in usable.items()]
         return _in_order(_stack(parts) if parts else df.sparkSession.createDataFrame([], "column string, value double"), df.columns)
 
+    def parts(self, rows: list) -> list[tuple[str, str, tuple[str, ...], float | None]]:
+        return [(self.metric.name, self.metric.category, (r["column"],), r["value"]) for r in rows]
+
     def summarize_result(self, result: DataFrame) -> float | None:
         return summary_mean(result).first()[0]
 
@@ -127,6 +130,9 @@ class CorrMatrix(DataFrameMetric):
         many = [p for p in rest if size[p] > FEW_CELLS]
         return out.unionByName(cramers_v_of(long(many), ["column_a", "column_b"])) if many else out
 
+    def parts(self, rows: list) -> list[tuple[str, str, tuple[str, ...], float | None]]:
+        return [(self.metric.name, self.metric.category, (r["column_a"], r["column_b"]), r["value"]) for r in rows if r["column_a"] != r["column_b"]]
+
     def summarize_result(self, result: DataFrame) -> float | None:
         if not self.skipna:
             return float("nan")
@@ -190,6 +196,9 @@ class TwoColumnMap(TwoDataFrameMetric):
             found = _stack([one(c) for c in usable]) if usable else both.sparkSession.createDataFrame([], "column string, value double")
         return _in_order(found.select("column", "value"), names)
 
+    def parts(self, rows: list) -> list[tuple[str, str, tuple[str, ...], float | None]]:
+        return [(self.metric.name, self.metric.category, (r["column"],), r["value"]) for r in rows]
+
     def summarize_result(self, result: DataFrame) -> float | None:
         return summary_mean(result).first()[0]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 from math import inf
 from statistics import NormalDist
 
@@ -22,7 +23,7 @@ from tabgauge.operators.tables import CorrMatrix, DiffCorrMatrix, OneColumnMap,
 from tabgauge.plans import oracles as o
 from tabgauge.session import shared_folder
 from tabgauge.sources.store import ResultStore
-from tabgauge.sources.tables import read_table
+from tabgauge.sources.tables import get_df, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -244,7 +245,7 @@ def _(spark, sf):
 
 def quantity_counts(spark, sf) -> DataFrame:
     held = read_table(spark, sf, "lineitem")
-    return held.groupBy(F.col("l_quantity").cast("int").alias("at")).agg(F.count_if(F.col("l_returnflag") == "A").alias("x"), F.count_if(F.col("l_returnflag") == "R").alias("y"))
+    return held.groupBy((F.col("l_quantity").cast("int") - 1).alias("at")).agg(F.count_if(F.col("l_returnflag") == "A").alias("x"), F.count_if(F.col("l_returnflag") == "R").alias("y"))
 
 
 _QUANTITIES = "WITH h AS (SELECT CAST(l_quantity AS INT) AS k, count(*) FILTER (l_returnflag = 'A') AS c0, count(*) FILTER (l_returnflag = 'R') AS c1 FROM lineitem GROUP BY 1)"
@@ -253,8 +254,14 @@ _QUANTITIES = "WITH h AS (SELECT CAST(l_quantity AS INT) AS k, count(*) FILTER (
 @query("emd_binned_ordinal", o.result("earth_movers_distance_binned", "x", "y", "sum(abs(d)) - abs(max_by(d, k))", f"{_QUANTITIES}, {o.SHARES}, g AS (SELECT k, sum(p - q) OVER (ORDER BY k) AS d FROM f)", "g"))
 def _(spark, sf):
     held = quantity_counts(spark, sf)
-    n = held.count()
-    return rounded(EarthMoversBinned(bin_edges=[float(i) for i in range(n + 1)], position="at")(column(held, "x"), column(held, "y")))
+    return rounded(EarthMoversBinned(bin_edges=[float(i) for i in range(51)], position="at")(column(held, "x"), column(held, "y")))
+
+
+@query("emd_binned_sparse", "WITH h AS (SELECT k, count(l_quantity) FILTER (l_returnflag = 'A') AS c0, count(l_quantity) FILTER (l_returnflag = 'R') AS c1 FROM (SELECT unnest(range(0, 50)) AS k) LEFT JOIN lineitem ON CAST(l_quantity AS INT) - 1 = k AND l_quantity NOT BETWEEN 20 AND 30 GROUP BY 1), "
+       + o.result("earth_movers_distance_binned", "x", "y", "sum(abs(d)) - abs(max_by(d, k))", f"{o.SHARES}, g AS (SELECT k, sum(p - q) OVER (ORDER BY k) AS d FROM f)", "g"))
+def _(spark, sf):
+    held = quantity_counts(spark, sf).where("at NOT BETWEEN 19 AND 29")  # eleven bins have no row
+    return rounded(EarthMoversBinned(bin_edges=[float(i) for i in range(51)], position="at")(column(held, "x"), column(held, "y")))
 
 
 @query("emd_binned_nominal", o.result("earth_movers_distance_binned", "x", "y", "sum(abs(p - q)) / 2", f"{_QUANTITIES}, {o.SHARES}"))
@@ -312,31 +319,22 @@ query("kendall_tau_ties", o.result("kendall_tau_correlation", "user_id", "value"
 query("kendall_tau_not_ordinal", o.result("kendall_tau_correlation", "p_size", "p_retailprice", "NULL", source="(SELECT 1)"))(_pair(KendallTau(), "part", "p_size", "p_retailprice"))
 
 
-@query("kendall_tau_dates", o.result("kendall_tau_correlation", "ts", "value", o.kendall("(SELECT epoch_us(ts) AS ts, value FROM events WHERE event_id % 5 = 0)", "ts", "value"), source="(SELECT 1)"))
-def _(spark, sf):
-    held = read_table(spark, sf, "events").where("event_id % 5 = 0").select("ts", "value")
-    return rounded(KendallTau()(column(held, "ts"), column(held, "value")))
+query("kendall_tau_dates", o.result("kendall_tau_correlation", "ts", "value", o.kendall("(SELECT epoch_us(ts) AS ts, value FROM events)", "ts", "value"), source="(SELECT 1)"))(_pair(KendallTau(), "events", "ts", "value"))
 
 
 _ORDER = "list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'], o_orderpriority)"
 
 
-@query("kendall_tau_categories", o.result("kendall_tau_correlation", "o_orderpriority", "o_totalprice", o.kendall(f"(SELECT {_ORDER} AS a, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)", "a", "o_totalprice"), source="(SELECT 1)"))
+@query("kendall_tau_categories", o.result("kendall_tau_correlation", "o_orderpriority", "o_totalprice", o.kendall(f"(SELECT {_ORDER} AS a, o_totalprice FROM orders)", "a", "o_totalprice"), source="(SELECT 1)"))
 def _(spark, sf):
-    held = read_table(spark, sf, "orders").where("o_orderkey % 3 = 0").select("o_orderpriority", "o_totalprice")
-    held = categorical(held, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ordered=True)
+    held = categorical(read_table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ordered=True)
     return rounded(KendallTau()(column(held, "o_orderpriority"), column(held, "o_totalprice")))
 
 
-# kendall_tau_dates and kendall_tau_categories take some of the rows, as their SQL does; these take all
-
-query("kendall_tau_dates_whole", o.result("kendall_tau_correlation", "ts", "value", o.kendall("(SELECT epoch_us(ts) AS ts, value FROM events)", "ts", "value"), source="(SELECT 1)"))(_pair(KendallTau(), "events", "ts", "value"))
-
-
-@query("kendall_tau_categories_whole", o.result("kendall_tau_correlation", "o_orderpriority", "o_totalprice", o.kendall(f"(SELECT {_ORDER} AS a, o_totalprice FROM orders)", "a", "o_totalprice"), source="(SELECT 1)"))
+@query("kendall_tau_two_tables", o.result("kendall_tau_correlation", "user_id", "value", o.kendall("events", "user_id", "value"), source="(SELECT 1)"))
 def _(spark, sf):
-    held = categorical(read_table(spark, sf, "orders").select("o_orderpriority", "o_totalprice"), "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ordered=True)
-    return rounded(KendallTau()(column(held, "o_orderpriority"), column(held, "o_totalprice")))
+    held = read_table(spark, sf, "events")
+    return rounded(KendallTau(align_on=["event_id"])(column(held.select("event_id", "user_id"), "user_id"), column(held.select("event_id", "value"), "value")))
 
 
 # whole tables
@@ -391,14 +389,10 @@ def matrix_cells(df: DataFrame) -> DataFrame:
 
 query("corr_matrix_cramers_v", o.matrix_rows(LINE, _LINE))(lambda spark, sf: matrix_cells(CorrMatrix(CramersV())(read_table(spark, sf, "lineitem").select(*LINE))))
 query("corr_matrix_cramers_v_summary", "SELECT true AS no_value")(
-    lambda spark, sf: spark.createDataFrame([(CorrMatrix(CramersV()).summarize_result(CorrMatrix(CramersV())(read_table(spark, sf, "lineitem").select(*LINE[2:4]))) != 0.0,)], "no_value boolean"))
+    lambda spark, sf: spark.createDataFrame([(CorrMatrix(CramersV()).summarize_result(CorrMatrix(CramersV())(read_table(spark, sf, "lineitem").select(*LINE))) != 0.0,)], "no_value boolean"))
 
 EVENT = ("event_id", "user_id", "value", "event_type")
-_EVENTS = "(SELECT event_id, user_id, value FROM events WHERE event_id % 4 = 0)"
-query("corr_matrix_kendall", o.matrix_rows(EVENT, {(a, b): o.kendall(_EVENTS, a, b) for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value"))}))(
-    lambda spark, sf: matrix_cells(CorrMatrix(KendallTau())(read_table(spark, sf, "events").where("event_id % 4 = 0").select(*EVENT))))
-
-query("corr_matrix_kendall_whole", o.matrix_rows(EVENT, {(a, b): o.kendall("events", a, b) for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value"))}))(
+query("corr_matrix_kendall", o.matrix_rows(EVENT, {(a, b): o.kendall("events", a, b) for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value"))}))(
     lambda spark, sf: matrix_cells(CorrMatrix(KendallTau())(read_table(spark, sf, "events").select(*EVENT))))
 
 
@@ -482,7 +476,7 @@ def _(spark, sf):
 
 @query("bootstrap_hellinger_interval")
 def _(spark, sf):
-    return _interval(intervals.compute_bootstrap_interval(Hellinger(), *priority_pair(spark, sf), n_samples=200), spark)
+    return _interval(intervals.compute_bootstrap_interval(Hellinger(), *priority_pair(spark, sf)), spark)
 
 
 @query("bootstrap_binned_interval")
@@ -499,26 +493,7 @@ def _(spark, sf):
     return plotdata.cross_table(read_table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query("cross_tables", """WITH t AS (SELECT p_type AS a, p_name AS b, p_partkey % 2 AS side FROM part WHERE p_partkey % 7 = 0)
-    SELECT x.a, y.b, count(t.side) FILTER (t.side = 0) AS n_test, count(t.side) FILTER (t.side = 1) AS n_synth
-    FROM (SELECT DISTINCT a FROM t) x CROSS JOIN (SELECT DISTINCT b FROM t) y LEFT JOIN t ON t.a = x.a AND t.b = y.b GROUP BY ALL""")
-def _(spark, sf):
-    held = read_table(spark, sf, "part").where("p_partkey % 7 = 0")
-    return plotdata.cross_tables(held.where("p_partkey % 2 = 0"), held.where("p_partkey % 2 = 1"), "p_type", "p_name")
-
-
-@query("plot_categorical", "SELECT CASE side WHEN 0 THEN 'orig' ELSE 'synth' END AS dataset, v AS value, substr(v, 1, 25) AS label, count(*) AS n FROM (SELECT l_linenumber % 2 AS side, l_returnflag AS v FROM lineitem WHERE l_orderkey % 2 = 0 AND l_linenumber IN (1, 2)) GROUP BY ALL")
-def _(spark, sf):
-    held = read_table(spark, sf, "lineitem").where("l_orderkey % 2 = 0")
-    part = lambda k: column(held.where(F.col("l_linenumber") == k).select("l_returnflag"), "l_returnflag")
-    # the larger of the two isn't drawn down here, so that the counts are certain
-    parts = [plotdata.categorical_counts([part(k)], None, [name]) for k, name in ((2, "orig"), (1, "synth"))]
-    return parts[0].unionByName(parts[1])
-
-
-# cross_tables, plot_categorical and plot_kde take some of the rows, as their SQL does; these take all
-
-@query("cross_tables_whole", """WITH t AS (SELECT p_type AS a, p_name AS b, p_partkey % 2 AS side FROM part)
+@query("cross_tables", """WITH t AS (SELECT p_type AS a, p_name AS b, p_partkey % 2 AS side FROM part)
     SELECT x.a, y.b, count(t.side) FILTER (t.side = 0) AS n_test, count(t.side) FILTER (t.side = 1) AS n_synth
     FROM (SELECT DISTINCT a FROM t) x CROSS JOIN (SELECT DISTINCT b FROM t) y LEFT JOIN t ON t.a = x.a AND t.b = y.b GROUP BY ALL""")
 def _(spark, sf):
@@ -526,7 +501,7 @@ def _(spark, sf):
     return plotdata.cross_tables(held.where("p_partkey % 2 = 0"), held.where("p_partkey % 2 = 1"), "p_type", "p_name")
 
 
-@query("plot_categorical_whole", "SELECT CASE side WHEN 0 THEN 'orig' ELSE 'synth' END AS dataset, v AS value, substr(v, 1, 25) AS label, count(*) AS n FROM (SELECT l_linenumber % 2 AS side, l_returnflag AS v FROM lineitem WHERE l_linenumber IN (1, 2)) GROUP BY ALL")
+@query("plot_categorical", "SELECT CASE side WHEN 0 THEN 'orig' ELSE 'synth' END AS dataset, v AS value, substr(v, 1, 25) AS label, count(*) AS n FROM (SELECT l_linenumber % 2 AS side, l_returnflag AS v FROM lineitem WHERE l_linenumber IN (1, 2)) GROUP BY ALL")
 def _(spark, sf):
     held = read_table(spark, sf, "lineitem")
     part = lambda k: column(held.where(F.col("l_linenumber") == k).select("l_returnflag"), "l_returnflag")
@@ -534,7 +509,7 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("plot_kde_whole", """WITH s AS (SELECT value AS v FROM events), t AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM s),
+@query("plot_kde", """WITH s AS (SELECT value AS v FROM events), t AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM s),
     g AS (SELECT n, h, lo - 3 * h + k * ((hi - lo + 6 * h) / 199) AS x FROM t, (SELECT unnest(range(0, 200)) AS k))
     SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density FROM g, s GROUP BY x""")
 def _(spark, sf):
@@ -557,12 +532,48 @@ def _(spark, sf):
     return kept.groupBy("dataset").agg(F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("plot_kde", """WITH s AS (SELECT value AS v FROM events WHERE event_id % 10 = 0), t AS (SELECT count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM s),
-    g AS (SELECT n, h, lo - 3 * h + k * ((hi - lo + 6 * h) / 199) AS x FROM t, (SELECT unnest(range(0, 200)) AS k))
-    SELECT round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density FROM g, s GROUP BY x""")
+_DENSITY = """WITH j AS (SELECT 'orig' AS dataset, value AS v FROM events WHERE event_type = 'click' UNION ALL SELECT 'synth', value FROM events WHERE event_type = 'view'),
+    b AS (SELECT quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM j WHERE dataset = 'orig'), w AS (SELECT dataset, v, lo, hi FROM j, b WHERE v BETWEEN lo AND hi),
+    t AS (SELECT dataset, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2) AS h, min(v) AS l, max(v) AS u, any_value(lo) AS lo, any_value(hi) AS hi FROM w GROUP BY 1),
+    g AS (SELECT dataset, n, h, greatest(l - 3 * h, lo) + k * ((least(u + 3 * h, hi) - greatest(l - 3 * h, lo)) / 199) AS x FROM t, (SELECT unnest(range(0, 200)) AS k))
+    SELECT g.dataset, round(x, 6) AS x, round(sum(exp(-0.5 * pow((x - v) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 8) AS density FROM g JOIN w ON g.dataset = w.dataset GROUP BY g.dataset, x"""
+
+
+@query("plot_continuous_density", _DENSITY)
 def _(spark, sf):
-    held = read_table(spark, sf, "events").where("event_id % 10 = 0").select("value")
-    return plotdata.continuous_column(column(held, "value")).select(F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+    held = read_table(spark, sf, "events")
+    part = lambda t: column(held.where(F.col("event_type") == t).select("value"), "value")
+    return plotdata.continuous([part("click"), part("view")], remove_outliers=0.1, sample_size=None).select("dataset", F.round("x", 6).alias("x"), F.round("density", 8).alias("density"))
+
+
+@query("plot_dataset_data", " UNION ALL ".join(f"SELECT '{c}' AS column, CASE o_orderkey % 2 WHEN 0 THEN 'orig' ELSE 'synth' END AS dataset, {c} AS value, count(*) AS n FROM orders GROUP BY ALL" for c in ("o_orderstatus", "o_orderpriority")))
+def _(spark, sf):
+    held = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    parts = [held.where(f"o_orderkey % 2 = {k}").drop("o_orderkey") for k in (0, 1)]
+    found = [plotdata.dataset([part], sample_size=None)[1] for part in parts]
+    rows = [data.select(F.lit(c).alias("column"), F.lit(name).alias("dataset"), "value", "n") for name, of in zip(("orig", "synth"), found) for c, data in of.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("csv_scan", "SELECT 'nation' AS name, n_regionkey, count(*) AS n, sum(n_nationkey)::BIGINT AS keys FROM nation GROUP BY ALL")
+def _(spark, sf):
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}/nation.csv"
+    read_table(spark, sf, "nation").write.option("header", True).csv(path)
+    df, name = get_df(spark, path)
+    return df.groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"), F.sum("n_nationkey").alias("keys")).withColumn("name", F.lit(name))
+
+
+@query("lookup_by_name", "SELECT 'metric' AS dimension, 'cramers_v' AS name, 'TwoColumnMetric' AS category, true AS found UNION ALL SELECT 'metric', 'absent', NULL, false")
+def _(spark, sf):
+    store = _stored(spark, sf)
+    rows = [(n, store.by_name("metric", n)) for n in ("cramers_v", "absent")]
+    return spark.createDataFrame([("metric", n, r.category if r else None, r is not None) for n, r in rows], "dimension string, name string, category string, found boolean")
+
+
+@query("own_check", o.result("norm", "l_linenumber", "l_linenumber", "sqrt(sum(pow(p - q, 2)))", f"{o.continuous_counts(*(f'l_linenumber FROM lineitem WHERE l_returnflag = {chr(39)}{f}{chr(39)}' for f in 'AR'))}, {o.SHARES}"))
+def _(spark, sf):
+    a, b = flags(spark, sf, "l_linenumber")
+    return rounded(Norm(check=ColumnCheck(min_num_unique=2, ctl_mult=0.1))(column(a, "l_linenumber"), column(b, "l_linenumber")))
 
 
 _PLAN = {"o_orderkey": "continuous", "o_custkey": "continuous", "o_orderstatus": "categorical", "o_totalprice": "continuous", "o_orderdate": "continuous", "o_orderpriority": "categorical"}

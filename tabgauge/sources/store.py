@@ -1,7 +1,7 @@
 """Results in a star schema: dimensions dataset, metric and version, and the fact table result.
 
-Two kinds of stores: Parquet folders, and tables of a JDBC database. One writer at a time is assumed; dimensions are got or created by an anti-join of the
-new names with the known ones. Columns that later versions added are read as NULL from older files.
+Two kinds of stores: Parquet folders, and tables of a JDBC database. One writer at a time is assumed: ids follow the largest one. Dimensions are got or created by name, in one pass
+over the table. ``ensure_schema`` brings an older store forward by the revisions that it hasn't recorded; columns that they added are read as NULL from older files.
 """
 
 from __future__ import annotations
@@ -21,15 +21,18 @@ SCHEMAS: dict[str, str] = {
     "version": "id int, name string, created_at timestamp",
     "result": "id int, metric_id int, dataset_id int, version_id int, value double, created_at timestamp, run_id string, sub_run int",
 }
-#: What each revision of the schema added, in order.
+#: Revisions of the schema, in order: a name, and the column that it added to a table, or nothing.
 REVISIONS: tuple[tuple[str, str, str], ...] = (
-    ("tables", "", "the four tables"),
+    ("tables", "", ""),
     ("run_id", "result", "run_id string"),
-    ("version_name", "version", "name is not null"),
+    ("version_name", "", ""),
     ("sub_run", "result", "sub_run int"),
-    ("unique_version", "version", "name is unique"),
-    ("unique_metric", "metric", "name is unique"),
+    ("unique_version", "", ""),
+    ("unique_metric", "", ""),
 )
+#: The table that records which revisions a store has.
+RECORD = "schema_revision"
+SCHEMAS[RECORD] = "name string, applied_at timestamp"
 UNVERSIONED = "Unversioned"
 
 
@@ -43,24 +46,54 @@ class ResultStore:
         sub = os.environ.get("SUB_RUN")
         self.sub_run = sub_run if sub_run is not None else int(sub) if sub else None
         self.known: dict[tuple[str, str], int] = {}
+        self.seen: set[str] = set()
 
     # storage
 
     def ensure_schema(self, dry_run: bool = False) -> list[str]:
-        """Create what is missing; the statements (with ``dry_run`` they are only returned)."""
-        done = []
-        for table, schema in SCHEMAS.items():
+        """Create the tables that are missing, add the columns of later revisions to older ones, and record the revisions; the statements (with ``dry_run`` they are only returned)."""
+        done, new = [], not self._exists("result")
+        for table in SCHEMAS:
             if not self._exists(table):
-                done.append(f"CREATE TABLE {table} ({schema})")
+                done.append(f"CREATE TABLE {self.table_name(table)} ({self.columns_of(table)})")
                 if not dry_run:
-                    self._write(self.spark.createDataFrame([], schema), table)
+                    self._create(table)
+        applied = {r["name"] for r in self.read(RECORD).collect()} if self._exists(RECORD) else set()
+        missing = [r for r in REVISIONS if r[0] not in applied]
+        for _, table, column in missing:
+            if table and not new and column.split()[0] not in self._stored_columns(table):
+                done.append(f"ALTER TABLE {self.table_name(table)} ADD COLUMN {column}")
+                if not dry_run:
+                    self._add_column(table, column)
+        if missing:
+            done += [f"INSERT INTO {self.table_name(RECORD)} (name) VALUES ('{name}')" for name, _, _ in missing]
+            if not dry_run:
+                self._write(self.spark.createDataFrame([(name,) for name, _, _ in missing], "name string").withColumn("applied_at", F.current_timestamp()), RECORD)
         return done
 
+    def table_name(self, table: str) -> str:
+        return table
+
+    def columns_of(self, table: str) -> str:
+        return SCHEMAS[table]
+
+    def _create(self, table: str) -> None:
+        self._write(self.spark.createDataFrame([], SCHEMAS[table]), table)
+
+    def _stored_columns(self, table: str) -> set[str]:
+        return {c.lower() for c in self.spark.read.parquet(f"{self.path}/{table}").columns}
+
+    def _add_column(self, table: str, column: str) -> None:
+        """Older files are read with the later schema, and have NULL there; a file without rows says that the column is there."""
+        self._write(self.spark.createDataFrame([], SCHEMAS[table]), table)
+
     def _exists(self, table: str) -> bool:
-        try:
-            self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}").limit(0).count()
-        except AnalysisException:
-            return False
+        if table not in self.seen:  # a table that is there stays
+            try:
+                self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.path}/{table}")
+            except AnalysisException:
+                return False
+            self.seen.add(table)
         return True
 
     def _write(self, rows: DataFrame, table: str) -> None:
@@ -81,17 +114,19 @@ class ResultStore:
         """Ids of the rows' names, which are made where they are new."""
         wanted = {r["name"]: r for r in rows if (table, r["name"]) not in self.known}
         if wanted:
-            held = self.read(table)
+            # one pass: the ids of the names that are there (the least, should two writers have made one), and the largest id
+            is_wanted = F.col("name").isin(list(wanted))
+            row = self.read(table).agg(F.max("id"), F.collect_list(F.when(is_wanted, F.struct("name", "id")))).first()
+            for r in sorted(row[1], key=lambda r: -r["id"]):
+                self.known[table, r["name"]] = r["id"]
             fields = T._parse_datatype_string(SCHEMAS[table])
-            given = T.StructType([f for f in fields if f.name not in ("id", "created_at")])
-            asked = self.spark.createDataFrame([tuple(r.get(f.name) for f in given) for r in wanted.values()], given)
-            new = asked.join(held.select("name"), "name", "left_anti").select(asked.columns).orderBy("name").collect()
+            given = [f for f in fields if f.name not in ("id", "created_at")]
+            new = [r for n, r in sorted(wanted.items()) if (table, n) not in self.known]
             if new:
-                first = (held.agg(F.max("id")).first()[0] or 0) + 1
-                made = self.spark.createDataFrame([(first + i, *r) for i, r in enumerate(new)], T.StructType([fields["id"], *given]))
+                first = (row[0] or 0) + 1
+                made = self.spark.createDataFrame([(first + i, *(r.get(f.name) for f in given)) for i, r in enumerate(new)], T.StructType([fields["id"], *given]))
                 self._write(made.withColumn("created_at", F.current_timestamp()).select(fields.names), table)
-            for r in self.read(table).where(F.col("name").isin(list(wanted))).groupBy("name").agg(F.min("id").alias("id")).collect():
-                self.known[table, r.name] = r.id
+                self.known |= {(table, r["name"]): first + i for i, r in enumerate(new)}
         return {r["name"]: self.known[table, r["name"]] for r in rows}
 
     def dataset_id(self, name: str, num_rows: int | None = None, num_columns: int | None = None) -> int:
@@ -122,7 +157,7 @@ class ResultStore:
 
     def results(self) -> DataFrame:
         """Facts with the names of their dimensions."""
-        name = lambda t: F.broadcast(self.read(t).select(F.col("id").alias(f"{t}_id"), F.col("name").alias(t)))  # noqa: E731  (dimensions are small)
+        name = lambda t: self.read(t).select(F.col("id").alias(f"{t}_id"), F.col("name").alias(t))
         return self.read("result").join(name("metric"), "metric_id", "left").join(name("dataset"), "dataset_id", "left").join(name("version"), "version_id", "left")
 
 
@@ -143,32 +178,60 @@ class JdbcResultStore(ResultStore):
         return cls(spark, {"url": url, "driver": "org.postgresql.Driver", "user": env("POSTGRES_USER", "postgres"), "password": password})
 
     def _reader(self, table: str):
-        return self.spark.read.format("jdbc").options(**self.options).option("dbtable", f"{table}_dim" if table != "result" else "result_fact")
+        return self.spark.read.format("jdbc").options(**self.options).option("dbtable", self.table_name(table))
+
+    def table_name(self, table: str) -> str:
+        return f"{table}_dim" if table in ("dataset", "metric", "version") else "result_fact" if table == "result" else table
+
+    def columns_of(self, table: str) -> str:
+        """As Spark's JDBC source makes them, texts as wide as a dataset's name."""
+        kinds = {"int": "INTEGER", "long": "BIGINT", "double": "DOUBLE PRECISION", "string": "VARCHAR(200)", "timestamp": "TIMESTAMP"}
+        return ", ".join(f"{name} {kinds[kind]}" for name, kind in (x.split() for x in SCHEMAS[table].split(", ")))
+
+    def _create(self, table: str) -> None:
+        texts = ", ".join(f"{x.split()[0]} VARCHAR(200)" for x in SCHEMAS[table].split(", ") if x.endswith(" string"))
+        self.spark.createDataFrame([], SCHEMAS[table]).write.format("jdbc").options(**self.options).option("dbtable", self.table_name(table)).option("createTableColumnTypes", texts).mode("append").save()
+
+    def _stored_columns(self, table: str) -> set[str]:
+        return {c.lower() for c in self._reader(table).load().columns}
+
+    def _add_column(self, table: str, column: str) -> None:
+        name, kind = column.split()
+        self._execute(f"ALTER TABLE {self.table_name(table)} ADD COLUMN {name} {'VARCHAR(200)' if kind == 'string' else 'INTEGER'}")
+
+    def _execute(self, statement: str) -> None:
+        jvm, options = self.spark._jvm, self.options
+        if "driver" in options:
+            jvm.java.lang.Class.forName(options["driver"], True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        connection = jvm.java.sql.DriverManager.getConnection(options["url"], options.get("user", ""), options.get("password", ""))
+        try:
+            connection.createStatement().execute(statement)
+        finally:
+            connection.close()
 
     def _exists(self, table: str) -> bool:
+        if table in self.seen:
+            return True
         try:
-            self._reader(table).load().limit(0).count()
+            self._reader(table).load()
         except Exception as error:  # drivers have exceptions of their own
             if any(x in str(error).lower() for x in ("does not exist", "no such table", "not found")):
                 return False
             raise
+        self.seen.add(table)
         return True
 
     def _write(self, rows: DataFrame, table: str) -> None:
-        name = f"{table}_dim" if table != "result" else "result_fact"
-        texts = ", ".join(f"{f.name} VARCHAR(200)" for f in rows.schema if isinstance(f.dataType, T.StringType))
-        if self._exists(table):  # columns without any value are left out: not all databases take a NULL of Spark's text type
-            held = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
-            rows = rows.select(*[c for c in rows.columns if held[c]]) if any(held) else rows.limit(0)
-        elif rows.schema.names and not rows.isEmpty():
+        if not self._exists(table):
             self.ensure_schema()
-            return self._write(rows, table)
-        writer = rows.write.format("jdbc").options(**self.options).option("dbtable", name)
-        (writer.option("createTableColumnTypes", texts) if texts else writer).mode("append").save()
+        held = rows.agg(*[F.count(c).alias(c) for c in rows.columns]).first()
+        rows = rows.select(*[c for c in rows.columns if held[c]])  # columns without any value are left out: not all databases take a NULL of Spark's text type
+        if rows.columns:
+            rows.write.format("jdbc").options(**self.options).option("dbtable", self.table_name(table)).mode("append").save()
 
     def read(self, table: str) -> DataFrame:
         if not self._exists(table):
             return self.spark.createDataFrame([], SCHEMAS[table])
         held = self._reader(table).load()
         names = {c.lower(): c for c in held.columns}
-        return held.select(*[F.col(names[f.name]).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(SCHEMAS[table])])
+        return held.select(*[(F.col(names[f.name]) if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(SCHEMAS[table])])

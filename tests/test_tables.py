@@ -148,7 +148,7 @@ def check_store(spark, store, again):
             m.OneColumnMap(m.Mean())(held)
         m.compute_bootstrap_interval(m.Mean(), column(held, "x"), n_samples=3)
     rows = sorted((r.id, r.metric, r.dataset, r.version, r.value) for r in again.results().collect())
-    assert rows == [(1, "mean", "Series_x", "Unversioned", 29.5), (2, "mean", "mine", "Unversioned", 29.5), (3, "mean_map", "mine", "Unversioned", 29.5)]
+    assert rows == [(1, "mean", "Series_x", "Unversioned", 29.5), (2, "mean", "mine", "Unversioned", 29.5), (3, "mean", "mine_x", "Unversioned", 29.5), (4, "mean_map", "mine", "Unversioned", 29.5)]
     assert again.by_name("metric", "mean").category == "OneColumnMetric" and again.by_name("metric", "other") is None
     assert again.by_name("dataset", "Series_x").num_rows == 60 and again.dataset_id("mine") == 2 and again.version_id("2") == 2
 
@@ -175,6 +175,77 @@ def test_jdbc_store(spark, tmp_path, monkeypatch):
     assert JdbcResultStore.from_env(spark).path == "jdbc:postgresql://localhost:5432/postgres"
 
 
+def older(store, spark):
+    """A store as the first revision left it, with one result."""
+    for table in ("dataset", "metric", "version"):
+        store._create(table)
+    store._write(spark.createDataFrame([(1, 1, 1, 1, 2.5)], "id int, metric_id int, dataset_id int, version_id int, value double"), "result")
+    store.seen.clear()
+    return store
+
+
+def test_an_older_store_is_brought_forward(spark, tmp_path):
+    store = older(ResultStore(spark, str(tmp_path / "old")), spark)
+    done = store.ensure_schema()
+    assert [x.split(" (")[0] for x in done[:3]] == ["CREATE TABLE schema_revision", "ALTER TABLE result ADD COLUMN run_id string", "ALTER TABLE result ADD COLUMN sub_run int"] and len(done) == 9
+    assert store.ensure_schema() == [] and store.read("schema_revision").count() == 6
+    store.add("mean", 1.5, "mine", 1, 1, "OneColumnMetric")
+    assert [(r.id, r.value) for r in store.read("result").orderBy("id").collect()] == [(1, 2.5), (2, 1.5)]
+
+
+def test_an_older_database_is_brought_forward(spark, tmp_path):
+    options = {"url": f"jdbc:derby:{tmp_path}/older;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    store = JdbcResultStore(spark, options)
+    for table in ("dataset", "metric", "version"):
+        store._create(table)
+    spark.createDataFrame([(1, 1, 1, 1, 2.5)], "id int, metric_id int, dataset_id int, version_id int, value double").withColumn("created_at", F.current_timestamp()).write.format("jdbc").options(**options).option("dbtable", "result_fact").save()
+    done = store.ensure_schema()
+    assert "ALTER TABLE result_fact ADD COLUMN run_id string" in done and not JdbcResultStore(spark, options).ensure_schema()
+    other = JdbcResultStore(spark, options, run_id="r", sub_run=4)
+    other.add("mean", 1.5, "mine", 1, 1, "OneColumnMetric")
+    assert [(r.id, r.value, r.run_id, r.sub_run) for r in other.read("result").orderBy("id").collect()] == [(1, 2.5, None, None), (2, 1.5, "r", 4)]
+
+
+def test_matrices_keep_a_result_for_each_pair(spark, tmp_path):
+    old, new = two_tables(spark)
+    store = ResultStore(spark, str(tmp_path / "pairs"))
+    with m.Metric.kept_in(store):
+        m.CorrMatrix(m.CramersV())(old.select("g", "n"), dataset="d")
+        m.TwoColumnMap(m.TotalVariation())(old.select("g"), new.select("g"), dataset="e")
+    rows = [(r.metric, r.dataset) for r in store.results().orderBy("id").collect()]
+    assert sorted(rows) == sorted([("cramers_v", "d_g_n"), ("cramers_v", "d_n_g"), ("cramers_v_matrix", "d"), ("total_variation_distance", "e_g"), ("total_variation_distance_map", "e")])
+
+
+def test_long_names(spark):
+    assert m.HellingerDistance is m.Hellinger and {"KullbackLeiblerDivergence", "EarthMoversDistanceBinned"} <= set(m.__all__)
+
+
+def test_binned_distance_of_sparse_tables(spark):
+    edges = [0.0, 1.0, 5.0, 6.0]
+    held = spark.createDataFrame([(0, 2, 0), (2, 0, 3)], "at int, x int, y int")
+    assert m.EarthMoversBinned(bin_edges=edges, position="at").value(column(held, "x"), column(held, "y")) == pytest.approx(5.0)
+    with pytest.raises(ValueError):
+        m.EarthMoversBinned(bin_edges=edges, position="at").value(*(column(held.withColumn("at", F.col("at") + 1), c) for c in "xy"))
+    with pytest.raises(ValueError):
+        m.EarthMoversBinned().value(column(held, "x"), column(held.limit(2), "y"))
+
+
+def test_window_draws_each_column_down_on_its_own(spark):
+    a, b = (spark.range(n).select(F.col("id").cast("double").alias("v")) for n in (50, 400))
+    sizes = lambda size: {r.dataset: r["count"] for r in plotdata.continuous_window([column(b, "v"), column(a, "v")], 0.0, size)[0].groupBy("dataset").count().collect()}
+    assert sizes(None) == {"orig": 400, "synth": 50}
+    assert sizes(100)["orig"] == 100
+    far = a.select((F.col("v") + 1e6).alias("v"))
+    _, data = plotdata.dataset([b, far], sample_size=None)
+    assert "outside" in data["v"].first().text
+
+
+def test_distinct_counts_near_an_own_threshold_are_exact(spark):
+    held = spark.range(20_000).select((F.col("id") % 5000).alias("x"))
+    kind = lambda n: m.classify(held, check=m.ColumnCheck(min_num_unique=n)).first().continuous
+    assert kind(5000) and not kind(5001)
+
+
 def test_stream_against_baseline(spark, tmp_path):
     from tabgauge.streaming.drift import watch
 
@@ -262,9 +333,9 @@ def test_kendall_of_all_rows(spark):
         return zip(*duckdb.sql(f"SELECT {', '.join(exprs)} FROM '{SF}/{table}.parquet' WHERE {kept}").fetchall())
 
     made = catalogue.queries()
-    assert made["kendall_tau_dates_whole"](spark, SF).first().value == pytest.approx(brute(*columns("events", "epoch_us(ts)", "value")), abs=1e-7)
-    assert made["kendall_tau_categories_whole"](spark, SF).first().value == pytest.approx(brute(*columns("orders", "substr(o_orderpriority, 1, 1)::int", "o_totalprice")), abs=1e-7)
-    cells = {(r.column_a, r.column_b): r.value for r in made["corr_matrix_kendall_whole"](spark, SF).collect()}
+    assert made["kendall_tau_dates"](spark, SF).first().value == pytest.approx(brute(*columns("events", "epoch_us(ts)", "value")), abs=1e-7)
+    assert made["kendall_tau_categories"](spark, SF).first().value == pytest.approx(brute(*columns("orders", "substr(o_orderpriority, 1, 1)::int", "o_totalprice")), abs=1e-7)
+    cells = {(r.column_a, r.column_b): r.value for r in made["corr_matrix_kendall"](spark, SF).collect()}
     for a, b in (("event_id", "user_id"), ("event_id", "value"), ("user_id", "value")):
         assert cells[a, b] == pytest.approx(brute(*columns("events", a, b)), abs=2e-5)
 
@@ -281,13 +352,13 @@ def test_plot_data_of_all_rows(spark):
     rows = lambda sql, table: duckdb.sql(f"SELECT {sql} FROM '{SF}/{table}.parquet'").fetchall()
     made = catalogue.queries()
     part = rows("p_type, p_name, p_partkey % 2", "part")
-    counts, found = Counter(part), made["cross_tables_whole"](spark, SF).collect()
+    counts, found = Counter(part), made["cross_tables"](spark, SF).collect()
     assert {(r.a, r.b, r.n_test, r.n_synth) for r in found} == {(a, b, counts[a, b, 0], counts[a, b, 1]) for a in {p[0] for p in part} for b in {p[1] for p in part}}
     lines = Counter((("orig", "synth")[k % 2], f) for k, f in rows("l_linenumber, l_returnflag", "lineitem") if k in (1, 2))
-    assert {(r.dataset, r.value): r.n for r in made["plot_categorical_whole"](spark, SF).collect()} == lines
+    assert {(r.dataset, r.value): r.n for r in made["plot_categorical"](spark, SF).collect()} == lines
     v = np.array([x for (x,) in rows("value", "events")])
     h = v.std(ddof=1) * len(v) ** -0.2
     grid = np.linspace(v.min() - 3 * h, v.max() + 3 * h, 200)
     want = np.exp(-0.5 * ((grid[:, None] - v) / h) ** 2).sum(1) / (len(v) * h * np.sqrt(2 * np.pi))
-    found = sorted((r.x, r.density) for r in made["plot_kde_whole"](spark, SF).collect())
+    found = sorted((r.x, r.density) for r in made["plot_kde"](spark, SF).collect())
     assert np.allclose(found, np.column_stack([grid, want]), atol=2e-6)
