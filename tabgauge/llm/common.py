@@ -52,13 +52,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def reread(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared checkpoint folder and read it again."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to the shared checkpoint folder; the table read again, and its path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def reread(df: DataFrame) -> DataFrame:
+    return written(df)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``written`` made and that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def tasks_for(df: DataFrame, bytes_each: int = 64 << 20, most: int = 1 << 16) -> int:

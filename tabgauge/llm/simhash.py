@@ -41,7 +41,7 @@ FAN = 8
 #: Two sets of similarity J agree on no band with probability (1 - J**6)**40, whatever the edit: 5e-6 at 0.8. At 0.3 it is 0.97, at 0.08 (a shared passage) 0.99999.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_LEAST = 5, 0.8, 40, 6
 #: Rounds in which a group's least document is compared with all of its group, documents of a group that one task takes at once, and links that one task settles.
-LEADERS, FOLLOWERS, LINKS = 3, 128, 500_000
+LEADERS, FOLLOWERS, LINKS = 3, 128, 200
 #: Rows of the index that one task takes.
 INDEX_ROWS = 250_000
 _APART = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

@@ -271,3 +271,40 @@ def test_links_are_settled_alike_in_one_task_and_by_joins(spark):
             out.add(a)
     for most in (500_000, 0):
         assert {r.a.id for r in simhash.settle(found, most).collect()} == out
+
+
+def test_similar_copies_in_tiles(spark):
+    """Without leaders all of a component is compared in tiles; the result is the same."""
+    rng, rows = random.Random(19), []
+    for g in range(3):
+        base = words(120, 700 + g).split()
+        for k in range(9):
+            w = list(base)
+            for _ in range(k % 5):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
+            rows.append((100 * g + 10 + k, " ".join(w)))
+    found = [{r[0] for r in simhash.similar_copies(docs(spark, rows), leaders=leaders, followers=4, most_links=most).collect()} for leaders, most in ((0, 500), (0, 0), (100, 500))]
+    out = set()
+    for i, t in rows:
+        if any(j < i and j not in out and jaccard(t, u) >= 0.8 for j, u in rows):
+            out.add(i)
+    assert found[0] == found[1] == found[2] == out and out
+
+
+def test_recall_of_pairs_in_the_test_data(spark):
+    """The share of all pairs of distinct texts with a similarity of 0.8 of which the stage keeps no more than one."""
+    texts = sorted({t: i for i, t, *_ in table(SF.replace("0.001", "0.01"), "documents") if t}.items(), key=lambda x: x[1])
+    split = [(i, {tuple(w[k : k + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t.lower())] for k in range(max(1, len(w) - 4)) if w}) for t, i in texts]
+    by_shingle = defaultdict(list)
+    for i, s in split:
+        for x in s:
+            by_shingle[x].append(i)
+    sets, shared = dict(split), defaultdict(int)
+    for ids in by_shingle.values():
+        for k, i in enumerate(ids):
+            for j in ids[k + 1 :]:
+                shared[i, j] += 1
+    pairs = [(i, j) for (i, j), n in shared.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    frame = spark.createDataFrame([(i, t) for t, i in texts], "doc_id long, text string")
+    stay = {r.doc_id for r in simhash.keep_one(frame).collect()}
+    assert pairs and np.mean([not (i in stay and j in stay) for i, j in pairs]) >= 0.9
