@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 def session(app: str = "tabgauge", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with adaptive plans; ``conf`` holds further settings, dots written as double underscores."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
-    builder = builder.config("spark.sql.adaptive.skewJoin.enabled", "true")
+    builder = builder.config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     if master:
         builder = builder.master(master)
     for name, value in conf.items():
