@@ -9,8 +9,8 @@ Words, positions and ids travel as compressed arrays. A word asks once for each
 key; a document stays in its block, and blocks are bounded by characters (a document longer than that is a block of its own).
 Block numbers come from task numbers; the words and the positions of a block leave the same shuffle, so they always agree.
 
-Decoding joins the table of token bytes: as the vocabulary fixes its size, it is one broadcast row of an array by id, so that a document's ids meet it in place, in their order, and no
-row for each token is shuffled. No Python runs there.
+Decoding joins ids with the table of token bytes. As the vocabulary fixes the table's size and its key is the place in it, the table goes to all tasks as one array and each id meets its
+row by place: a map-side join, in which a document's tokens stay together and in order, where a join of one row for each token would shuffle several times the text. No Python runs there.
 
 Defined cases: null and empty texts have no ids and decode to no bytes; a null id or repeated rows are encoded like others; special tokens are ordinary
 text; a text of any length is encoded whole, in a block of its own; other columns are not read; an empty table gives no rows. Ids that the table lacks raise an error in decoding, and
@@ -40,6 +40,8 @@ from tabgauge.llm.common import fresh, tasks_for
 
 BLOCK_CHARS = 6_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
+#: Stand for an absent token and between tokens; no bytes' characters.
+_ABSENT, _APART = "\u0100", "\u0101"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -218,11 +220,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: s
         ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     by_id: list[str | None] = [None] * (max(ranks.values(), default=-1) + 1)
     for token, i in ranks.items():
-        by_id[i] = token.hex()
-    (name,) = fresh([*encoded.columns, out_col], "token_bytes")
-    table = encoded.sparkSession.createDataFrame([(by_id,)], f"{name} array<string>")
-    missing = lambda i: F.raise_error(F.concat(F.lit("KeyError: no token has the id "), F.coalesce(i.cast("string"), F.lit("NULL"))))
-    tokens = F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.coalesce(F.get(F.col(name), i), missing(i)))
-    joined = encoded.crossJoin(F.broadcast(table))  # one row
-    others = [c for c in encoded.columns if c != out_col]
-    return joined.select(*others, F.unhex(F.array_join(tokens, "")).alias(out_col))
+        by_id[i] = token.decode("latin-1")  # a character for each byte
+    (text_col,) = fresh([*encoded.columns, out_col], "joined")
+    table = F.split(F.lit(_APART.join(_ABSENT if x is None else x for x in by_id)), _APART)  # a constant, folded into an array that tasks hold once
+    tokens = F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.get(table, i))
+    joined = encoded.select(*encoded.columns, F.array_join(tokens, "", _ABSENT).alias(text_col))
+    text, others = F.col(text_col), [c for c in encoded.columns if c != out_col]
+    return joined.select(*others, F.when(F.contains(text, F.lit(_ABSENT)), F.raise_error(F.lit("KeyError: an id that the token table lacks"))).otherwise(F.encode(text, "ISO-8859-1")).alias(out_col))
