@@ -60,8 +60,9 @@ class ResultStore:
                     self._create(table)
         applied = {r["name"] for r in self.read(RECORD).collect()} if self._exists(RECORD) else set()
         missing = [r for r in REVISIONS if r[0] not in applied]
+        stored = {table: self._stored_columns(table) for _, table, _ in missing if table and not new}  # before any of them is added
         for _, table, column in missing:
-            if table and not new and column.split()[0] not in self._stored_columns(table):
+            if table in stored and column.split()[0] not in stored[table]:
                 done.append(f"ALTER TABLE {self.table_name(table)} ADD COLUMN {column}")
                 if not dry_run:
                     self._add_column(table, column)
@@ -81,7 +82,7 @@ class ResultStore:
         self._write(self.spark.createDataFrame([], SCHEMAS[table]), table)
 
     def _stored_columns(self, table: str) -> set[str]:
-        return {c.lower() for c in self.spark.read.parquet(f"{self.path}/{table}").columns}
+        return {c.lower() for c in self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/{table}").columns}
 
     def _add_column(self, table: str, column: str) -> None:
         """Older files are read with the later schema, and have NULL there; a file without rows says that the column is there."""

@@ -308,7 +308,7 @@ def test_query_against_sql(spark, name):
 
     con = duckdb.connect()
     con.execute("SET TimeZone = 'UTC'")
-    for t in ("customer", "part", "orders", "lineitem", "events", "labels", "supplier"):
+    for t in ("nation", "customer", "part", "orders", "lineitem", "events", "labels", "supplier"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = con.sql(catalogue.oracle_sql()[name])
     if name == "earth_movers_distance_guard":
